@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simlattice.operators.combine import Combined
+from simlattice.operators.leader import number_clusters
 from simlattice.operators.matrix import mirrored
-from simlattice.runtime import choose, cut
+from simlattice.runtime import choose, cut, numbered
+
+# Stored pairs of one entity that a single task may hold.
+ROW_LIMIT = 200_000
 
 
 def cluster_sizes(clusters: DataFrame, label: str = "leader") -> DataFrame:
@@ -22,7 +28,7 @@ def cluster_counts(clusters: DataFrame, label: str = "leader") -> DataFrame:
     )
 
 
-def silhouette(combined: Combined, clusters: DataFrame, singleton: str = "one") -> DataFrame:
+def silhouette(combined: Combined, clusters: DataFrame, singleton: str = "one", row_limit: int = ROW_LIMIT) -> DataFrame:
     """Average silhouette ``(combo, step, silhouette, n_clusters)`` of at least two clusters.
 
     Per entity: ``a`` is the mean distance to its own cluster (0 if alone), ``b``
@@ -30,88 +36,151 @@ def silhouette(combined: Combined, clusters: DataFrame, singleton: str = "one")
     ``singleton="zero"`` scores entities alone in their cluster with 0.
 
     Only stored pairs are read. The absent ones of a cluster are copies of the
-    background distance and enter means and medians as counts.
+    background distance and enter means and medians as counts. The pairs of one
+    entity are scored together for all thresholds; an entity with more than
+    ``row_limit`` of them is ranked over many tasks instead.
     """
     if singleton not in ("one", "zero"):
         raise ValueError("singleton is 'one' or 'zero'")
-    sizes = cluster_sizes(clusters)
-    counts = sizes.groupBy("combo", "step").agg(F.count("*").alias("n_clusters")).filter("n_clusters >= 2")
-    nodes = cut(
-        clusters.join(sizes, ["combo", "step", "leader"]).join(counts, ["combo", "step"])
-        .select("combo", "step", "id", "leader", "size", "n_clusters")
-    )
-    packed = nodes.groupBy("combo", "id").agg(
-        F.sort_array(F.collect_list(F.struct("step", "leader", "size"))).alias("at")
-    )
-    packed = cut(packed)
-    rows = (
-        mirrored(combined.vectors, "combo", "d")
-        .join(packed.select("combo", "id", F.col("at").alias("own")), ["combo", "id"])
-        .join(packed.select("combo", F.col("id").alias("nbr"), F.col("at").alias("other")), ["combo", "nbr"])
-        .select("combo", "id", "d", F.explode(F.arrays_zip("own", "other")).alias("p"))
-        .select(
-            "combo", F.col("p.own.step").alias("step"), "id", "d",
-            (F.col("p.own.leader") == F.col("p.other.leader")).alias("same"),
-            F.col("p.other.leader").alias("leader"), F.col("p.other.size").alias("size"),
-        )
-    )
-    key = ["combo", "step", "id"]
-    lone = ~F.col("same") & (F.col("size") == 1)
-    direct = rows.filter(F.col("same") | (F.col("size") == 1)).groupBy(*key).agg(
-        F.sum(F.when(F.col("same"), F.col("d"))).alias("own_sum"),
-        F.count(F.when(F.col("same"), 1)).alias("own_n"),
-        F.min(F.when(lone, F.col("d"))).alias("lone_min"),
-        F.count(F.when(lone, 1)).alias("lone_n"),
+    labeled = cut(number_clusters(clusters))
+    sizes = cluster_sizes(labeled, "label")
+    counts = {(r["combo"], r["step"]): r["n"] for r in sizes.groupBy("combo", "step").agg(F.count("*").alias("n")).collect()}
+    scored = {at: n for at, n in counts.items() if n >= 2}
+    if not scored:
+        return combined.vectors.sparkSession.createDataFrame([], "combo string, step int, silhouette double, n_clusters long")
+    entry = F.struct("step", "label", F.col("size").cast("int").alias("size"))
+    packed = cut(
+        labeled.join(sizes, ["combo", "step", "label"]).groupBy("combo", "id").agg(F.sort_array(F.collect_list(entry)).alias("at"))
+        .select("combo", "id", F.col("at.step").alias("steps"), F.col("at.label").alias("labels"), F.col("at.size").alias("sizes"))
     )
-    medians = _least_medians(combined, rows.filter(~F.col("same") & (F.col("size") > 1)))
-
-    far = choose(combined.background, F.col("combo"))
-    zero = F.lit(0)
-    own_n, lone_n, seen = F.coalesce("own_n", zero), F.coalesce("lone_n", zero), F.coalesce("seen", zero)
-    a = F.when(F.col("size") > 1, (F.coalesce("own_sum", F.lit(0.0)) + (F.col("size") - 1 - own_n) * far) / (F.col("size") - 1)).otherwise(0.0)
-    unseen = F.when(F.col("n_clusters") - 1 - lone_n - seen > 0, far)
-    points = (
-        nodes.join(direct, key, "left").join(medians, key, "left")
-        .select("combo", "step", "n_clusters", "size", a.alias("a"), F.least("lone_min", "median_min", unseen).alias("b"))
+    pairs = mirrored(combined.vectors, "combo", "d")
+    hot = cut(pairs.groupBy("combo", "id").count().filter(F.col("count") > row_limit).select("combo", "id"))
+    crowded = hot.limit(1).count() > 0
+
+    ends = packed.select("combo", F.col("id").alias("nbr"), "steps", "labels", "sizes")
+    rows = (pairs.join(hot, ["combo", "id"], "left_anti") if crowded else pairs).join(ends, ["combo", "nbr"])
+    own = packed.join(hot, ["combo", "id"], "left_anti") if crowded else packed
+    rows = rows.select("combo", "id", "d", "steps", "labels", "sizes").unionByName(
+        own.select("combo", "id", F.lit(None).cast("double").alias("d"), "steps", "labels", "sizes")
     )
+    points = rows.groupBy("combo", "id").applyInArrow(_scorer(scored, combined.background), "combo string, step int, size long, a double, b double")
+    if crowded:
+        points = points.unionByName(_crowded_points(combined, pairs, packed, hot, scored))
     top = F.greatest("a", "b")
     s = F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
     if singleton == "zero":
         s = F.when(F.col("size") == 1, 0.0).otherwise(s)
-    return points.groupBy("combo", "step").agg(F.avg(s).alias("silhouette"), F.first("n_clusters").alias("n_clusters"))
+    table = points.sparkSession.createDataFrame([(c, t, n) for (c, t), n in scored.items()], "combo string, step int, n_clusters long")
+    return points.groupBy("combo", "step").agg(F.avg(s).alias("silhouette")).join(F.broadcast(table), ["combo", "step"])
+
+
+def _scorer(scored: dict[tuple[str, int], int], background: dict[str, float]):
+    """Per entity and threshold: cluster size, ``a`` and ``b`` from its stored pairs."""
+
+    def score(group: pa.Table) -> pa.Table:
+        combo = group.column("combo")[0].as_py()
+        far = background[combo]
+        d = group.column("d").to_numpy()
+        steps = np.asarray(group.column("steps")[0].as_py())
+        labels = group.column("labels").combine_chunks().flatten().to_numpy().reshape(len(d), -1)
+        sizes = group.column("sizes").combine_chunks().flatten().to_numpy().reshape(len(d), -1)
+        me = int(np.flatnonzero(np.isnan(d))[0])
+        order = np.argsort(d, kind="stable")[:-1]  # the own row is NaN and sorts last
+        near = d[order]
+        out = {"step": [], "size": [], "a": [], "b": []}
+        for at, step in enumerate(steps.tolist()):
+            clusters = scored.get((combo, step))
+            if clusters is None:
+                continue
+            mine, size = labels[me, at], int(sizes[me, at])
+            there = labels[order, at]
+            same = there == mine
+            stored = int(same.sum())
+            a = (near[same].sum() + (size - 1 - stored) * far) / (size - 1) if size > 1 else 0.0
+            medians = _medians(near[~same], there[~same], sizes[order[~same], at], far)
+            b = medians.min() if len(medians) else far
+            if clusters - 1 > len(medians):
+                b = min(b, far)
+            for name, value in zip(("step", "size", "a", "b"), (step, size, float(a), float(b))):
+                out[name].append(value)
+        return pa.table(
+            {
+                "combo": pa.array([combo] * len(out["step"]), pa.string()),
+                "step": pa.array(out["step"], pa.int32()),
+                "size": pa.array(out["size"], pa.int64()),
+                "a": pa.array(out["a"], pa.float64()),
+                "b": pa.array(out["b"], pa.float64()),
+            }
+        )
 
+    return score
 
-def _least_medians(combined: Combined, rows: DataFrame) -> DataFrame:
-    """Least median distance of an entity to the larger clusters with a stored pair.
 
-    One shuffle by entity serves the ranks inside each cluster, the medians and
-    their minimum. A median over ``size`` members needs the two middle
-    positions after placing the absent copies of the background distance.
-    """
-    key = ["combo", "step", "id"]
-    group = Window.partitionBy(*key, "leader")
+def _medians(d: np.ndarray, label: np.ndarray, size: np.ndarray, far: float) -> np.ndarray:
+    """Median per label of ascending ``d`` filled up to ``size`` with ``far``."""
+    if not len(d):
+        return d
+    by_label = np.argsort(label, kind="stable")
+    d, label, size = d[by_label], label[by_label], size[by_label].astype(np.int64)
+    start = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+    count = np.diff(np.r_[start, len(d)])
+    size = size[start]
+    missing = size - count
+    below = np.add.reduceat((d <= far).astype(np.int64), start)
+
+    def at(position: np.ndarray) -> np.ndarray:
+        absent = (position >= below) & (position < below + missing)
+        index = np.where(position < below, position, position - missing)
+        return np.where(absent, far, d[start + np.clip(index, 0, count - 1)])
+
+    return (at((size - 1) // 2) + at(size // 2)) / 2
+
+
+def _crowded_points(combined: Combined, pairs: DataFrame, packed: DataFrame, hot: DataFrame, scored: dict) -> DataFrame:
+    """The same for entities with very many stored pairs, whose ranks span tasks."""
+    spark = packed.sparkSession
     far = choose(combined.background, F.col("combo"))
-    rank = F.row_number().over(group.orderBy("d")) - 1
-    ranked = (
-        rows.repartition(*key)
-        .withColumn("rank", rank)
-        .withColumn("missing", F.col("size") - F.count("d").over(group))
-        .withColumn("pos", F.when(F.col("d") <= far, F.col("rank")).otherwise(F.col("rank") + F.col("missing")))
+    table = F.broadcast(spark.createDataFrame([(c, t, n) for (c, t), n in scored.items()], "combo string, step int, n_clusters long"))
+    mine = packed.join(hot, ["combo", "id"], "left_semi")
+    rows = (
+        pairs.join(mine.select("combo", "id", F.col("labels").alias("mine")), ["combo", "id"])
+        .join(packed.withColumnRenamed("id", "nbr"), ["combo", "nbr"])
+        .select("combo", "id", "nbr", "d", F.explode(F.arrays_zip("steps", "mine", "labels", "sizes")).alias("p"))
+        .select("combo", "id", "nbr", "d", F.col("p.steps").alias("step"), (F.col("p.mine") == F.col("p.labels")).alias("same"), F.col("p.labels").alias("label"), F.col("p.sizes").alias("size"))
+        .join(table.select("combo", "step"), ["combo", "step"])
     )
+    key = ["combo", "step", "id"]
+    own = rows.filter("same").groupBy(*key).agg(F.sum("d").alias("own_sum"), F.count("d").alias("own_n"))
+    others = cut(rows.filter(~F.col("same")).drop("same"))
+    per_cluster = others.groupBy(*key, "label").agg(
+        F.first("size").cast("long").alias("size"), F.count("d").alias("stored"), F.count(F.when(F.col("d") <= far, 1)).alias("below")
+    ).withColumn("missing", F.col("size") - F.col("stored"))
+    ranked = numbered(others.drop("size"), [*key, "label"], ["d", "nbr"], "rank").join(per_cluster, [*key, "label"])
+    pos = F.when(F.col("d") <= far, F.col("rank")).otherwise(F.col("rank") + F.col("missing"))
     low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
-    picked = F.when(F.col("pos") == low, F.col("d")).otherwise(0.0) + F.when(F.col("pos") == high, F.col("d")).otherwise(0.0)
-    per_cluster = ranked.groupBy(*key, "leader").agg(
-        F.sum(picked).alias("picked"),
-        F.count(F.when(F.col("d") <= far, 1)).alias("below"),
-        F.first("size").alias("size"),
-        F.first("missing").alias("missing"),
-    )
+    picked = F.when(pos == low, F.col("d")).otherwise(0.0) + F.when(pos == high, F.col("d")).otherwise(0.0)
+    sums = ranked.groupBy(*key, "label").agg(F.sum(picked).alias("picked"))
 
     def absent_at(position):
         return ((position >= F.col("below")) & (position < F.col("below") + F.col("missing"))).cast("int")
 
     median = (F.col("picked") + far * (absent_at(low) + absent_at(high))) / 2
-    return per_cluster.select(*key, median.alias("m")).groupBy(*key).agg(F.min("m").alias("median_min"), F.count("m").alias("seen"))
+    medians = (
+        per_cluster.join(sums, [*key, "label"]).select(*key, median.alias("m")).groupBy(*key)
+        .agg(F.min("m").alias("median_min"), F.count("m").alias("seen"))
+    )
+    nodes = mine.select("combo", "id", F.explode(F.arrays_zip("steps", "sizes")).alias("p")).select(
+        "combo", "id", F.col("p.steps").alias("step"), F.col("p.sizes").cast("long").alias("size")
+    ).join(table, ["combo", "step"])
+    zero = F.lit(0)
+    a = F.when(
+        F.col("size") > 1,
+        (F.coalesce("own_sum", F.lit(0.0)) + (F.col("size") - 1 - F.coalesce("own_n", zero)) * far) / (F.col("size") - 1),
+    ).otherwise(0.0)
+    unseen = F.when(F.col("n_clusters") - 1 - F.coalesce("seen", zero) > 0, far)
+    return nodes.join(own, key, "left").join(medians, key, "left").select(
+        "combo", "step", "size", a.alias("a"), F.least("median_min", unseen).alias("b")
+    )
 
 
 def sweep(scores: DataFrame, ranges: dict[str, list[float]]) -> DataFrame:
@@ -133,7 +202,7 @@ def sweep(scores: DataFrame, ranges: dict[str, list[float]]) -> DataFrame:
     )
 
 
-def best_clusters(sweep_rows: DataFrame, clusters: DataFrame, ids: DataFrame, combos: list[str]) -> tuple[DataFrame, DataFrame]:
+def best_clusters(sweep_rows: DataFrame, clusters: DataFrame, combos: list[str]) -> tuple[DataFrame, DataFrame]:
     """Best threshold per combination and its clusters ``(combo, id, leader)``.
 
     A combination without a usable threshold keeps ``t1 = 0``, silhouette -1,

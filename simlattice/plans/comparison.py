@@ -42,7 +42,7 @@ def cluster_combinations(
     ranges = threshold_range(combined, steps)
     clusters = cut(leader_clusters(combined, ranges, seed))
     scored = cut(sweep(silhouette(combined, clusters, singleton), ranges))
-    best, labels = best_clusters(scored, clusters, combined.ids, list(combined.combos))
+    best, labels = best_clusters(scored, clusters, list(combined.combos))
     return Clustered(combined, ranges, clusters, scored, best, cut(labels))
 
 
