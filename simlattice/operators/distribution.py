@@ -25,7 +25,8 @@ def histogram(rows: DataFrame, bins: int = 50, density: bool = False, use_log: b
     spans = {s: (lo, hi, n) if lo < hi else (lo - 0.5, hi + 0.5, n) for s, (lo, hi, n) in _spans(rows).items()}
     lo = choose({s: v[0] for s, v in spans.items()}, F.col("source"))
     hi = choose({s: v[1] for s, v in spans.items()}, F.col("source"))
-    at = F.least(F.floor((F.col("value") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    # A value a rounding error below an edge belongs to the bin that starts there.
+    at = F.least(F.floor(F.round((F.col("value") - lo) / (hi - lo) * bins, 9)), F.lit(bins - 1)).cast("int")
     counts = rows.groupBy("source", at.alias("bin")).agg(F.sum("w").alias("n"))
     edges = [(s, b, a + (z - a) / bins * b, a + (z - a) / bins * (b + 1), n) for s, (a, z, n) in spans.items() for b in range(bins)]
     table = rows.sparkSession.createDataFrame(edges, "source string, bin int, low double, high double, total long")

@@ -281,7 +281,7 @@ def distance_summary(spark, sf_dir):
 @query
 def vector_distances(spark, sf_dir):
     v = _combined(spark, sf_dir).vectors
-    return v.select("combo", "id1", "id2", F.size("dists").alias("dims"), F.round("d", 6).alias("d"))
+    return v.select("combo", "id1", "id2", F.size("dists").alias("dims"), "d")
 
 
 @query
@@ -289,7 +289,7 @@ def weighted_distances(spark, sf_dir):
     d = _distances(spark, sf_dir)
     combos = {"all": tuple(SUPPLIER_SOURCES)}
     v = combine_distances(d, combos, weights={"follow": 0.5, "pace": 2.0, "worth": 1.0, "alike": 0.25}).vectors
-    return v.select("combo", "id1", "id2", F.round("d", 6).alias("d"))
+    return v.select("combo", "id1", "id2", "d")
 
 
 @query
@@ -352,8 +352,8 @@ def first_medoids(spark, sf_dir):
 
 @query
 def distance_embedding(spark, sf_dir):
-    done = _clustered(spark, sf_dir)
-    return distance_plane(done.combined, "pace_alike", done.labels)
+    done = cluster_combinations(_distances(spark, sf_dir), low=1, high=1)
+    return distance_plane(done.combined, "pace", done.labels)
 
 
 # Overlap
