@@ -105,10 +105,10 @@ def _leaders(steps: int = STEPS) -> list[str]:
     return _thresholds(steps) + [
         "ord AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) AS pos FROM common)",
         "two_way AS (SELECT combo, id1 AS id, id2 AS nbr, d FROM vectors UNION ALL SELECT combo, id2, id1, d FROM vectors)",
-        """near AS (
-  SELECT t.combo, t.step, b.id, list(b.nbr) FILTER (WHERE b.d <= t.t1) AS nbrs
-  FROM t1s t JOIN two_way b ON b.combo = t.combo GROUP BY t.combo, t.step, b.id)""",
-        "visit AS (SELECT near.combo, near.step, ord.pos, near.id, coalesce(near.nbrs, CAST([] AS BIGINT[])) AS nbrs FROM near JOIN ord USING (id))",
+        """visit AS (
+  SELECT t.combo, t.step, o.pos, o.id, coalesce(list(b.nbr) FILTER (WHERE b.d <= t.t1 AND e.pos < o.pos), CAST([] AS BIGINT[])) AS nbrs
+  FROM t1s t JOIN two_way b ON b.combo = t.combo JOIN ord o ON o.id = b.id JOIN ord e ON e.id = b.nbr
+  GROUP BY t.combo, t.step, o.pos, o.id)""",
         """walk AS (
   SELECT combo, step, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS leaders FROM t1s
   UNION ALL
