@@ -142,7 +142,7 @@ def test_spearman_and_norms(sources):
         u = scaled(x) - scaled(y)
         assert upper_norms[a, b] == pytest.approx((np.linalg.norm(u), np.linalg.norm(u) / np.sqrt(len(u))))
     with pytest.raises(ValueError):
-        compare.spearman(normal, sparse=True)
+        compare.spearman(aligned._replace(background={"p": 0.3, "q": 0.3, "r": 0.3}), sparse=True)
 
 
 def test_frequent_values_are_joined_without_shuffle(spark, sources):
