@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simlattice.operators.matrix import Matrices
-from simlattice.runtime import cut
+from simlattice.runtime import cut, numbered
+
+# Sample size up to which one task may sort the sample.
+SMALL_SAMPLE = 10_000
 
 
 class Aligned(NamedTuple):
@@ -43,7 +46,10 @@ def common_ids(ids: DataFrame, sources: Sequence[str]) -> DataFrame:
 def sample_ids(ids: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """``size`` entities in an order fixed by the seed: the smallest MD5 of id and seed."""
     key = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")).cast("binary"))
-    return ids.withColumn("_key", key).orderBy("_key", "id").limit(size).select("id")
+    keyed = ids.withColumn("_key", key)
+    if size <= SMALL_SAMPLE:
+        return keyed.orderBy("_key", "id").limit(size).select("id")
+    return numbered(keyed, [], ["_key", "id"]).filter(F.col("pos") < size).select("id")
 
 
 def restrict(pairs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from simlattice.functions.numeric import rounded_distance, vector_distance
 from simlattice.operators.align import Aligned
+from simlattice.operators.matrix import mirrored
 from simlattice.operators.moments import Moments
-from simlattice.runtime import cut
+from simlattice.runtime import cut, hot_or_none
 
 DIGITS = 8
 MAX_STEPS = 62
+# Stored pairs of one entity above which it is a hub.
+HUB_ROWS = 200_000
 
 
 class Combined(NamedTuple):
     """``vectors(combo, id1, id2, dists, d)`` of the pairs stored in a source of the combo.
 
     All other pairs lie at ``background[combo]``; ``stats`` covers every pair.
+    ``hubs(combo, id)`` are the entities with very many stored pairs, if any.
     """
 
     vectors: DataFrame
@@ -32,6 +36,7 @@ class Combined(NamedTuple):
     background: dict[str, float]
     stored: dict[str, int]
     stats: dict[str, Moments]
+    hubs: DataFrame | None = None
 
     @property
     def cells(self) -> int:
@@ -51,6 +56,7 @@ def combine_distances(
     combos: dict[str, tuple[str, ...]],
     weights: dict[str, float] | None = None,
     digits: int | None = DIGITS,
+    hub_rows: int = HUB_ROWS,
 ) -> Combined:
     """Vector distance per combination and pair.
 
@@ -109,7 +115,11 @@ def combine_distances(
         parts = [*moments.get(name, []), Moments(cells - counts[name], b, 0.0, b, b)]
         if cells:
             stats[name] = Moments.merge(parts)
-    return Combined(vectors, distances.ids, distances.n, dict(combos), background, counts, stats)
+    hubs = None
+    if distances.n > hub_rows:
+        degrees = mirrored(vectors, "combo").groupBy("combo", "id").agg(F.count("*").alias("stored"))
+        hubs = hot_or_none(degrees, "stored", hub_rows)
+    return Combined(vectors, distances.ids, distances.n, dict(combos), background, counts, stats, hubs)
 
 
 def combo_stats(combined: Combined) -> DataFrame:

@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simlattice.operators.combine import Combined
-from simlattice.runtime import choose, cut, numbered
+from simlattice.runtime import choose, cut, hot_or_none, lookup, numbered
+
+# Members of one cluster above which its rows are not shuffled to meet its label.
+HOT_ROWS = 1_000_000
 
 
 def visit_key(id: Column, seed: int = 42) -> Column:
@@ -68,19 +71,20 @@ def leader_clusters(combined: Combined, ranges: dict[str, list[float]], seed: in
             "combo", "id", choose(narrow_mask, F.col("combo"), "long").alias("open"), F.lit(0).cast("long").alias("leads")
         )
     )
-    nodes = _elect(nodes, near)
-    narrow = _members(nodes, near, steps, seed)
+    hubs = combined.hubs and combined.hubs.select("combo", F.col("id").alias("early"))
+    nodes = _elect(nodes, near, hubs)
+    narrow = _members(nodes, near, hubs, steps, seed)
     wide = {c: s for c, s in wide_from.items() if s < steps}
     return narrow.unionByName(_wide_clusters(combo_rows, edges, wide, steps, seed)) if wide else narrow
 
 
-def _elect(nodes: DataFrame, near: DataFrame) -> DataFrame:
+def _elect(nodes: DataFrame, near: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """Rounds until every entity is decided; ``leads`` holds the steps it leads."""
 
     def reached(mask: str, among: DataFrame, name: str) -> DataFrame:
         ends = among.filter(F.col(mask) != 0).select("combo", F.col("id").alias("early"), mask)
         bits = F.col("bits").bitwiseAND(F.col(mask))
-        found = near.join(ends, ["combo", "early"]).select("combo", F.col("late").alias("id"), bits.alias(name)).filter(F.col(name) != 0)
+        found = lookup(near, ends, ["combo", "early"], hubs).select("combo", F.col("late").alias("id"), bits.alias(name)).filter(F.col(name) != 0)
         return found.groupBy("combo", "id").agg(F.bit_or(name).alias(name))
 
     def less(a: Column, b: str) -> Column:
@@ -105,11 +109,11 @@ def _elect(nodes: DataFrame, near: DataFrame) -> DataFrame:
     return nodes
 
 
-def _members(nodes: DataFrame, near: DataFrame, steps: int, seed: int) -> DataFrame:
+def _members(nodes: DataFrame, near: DataFrame, hubs: DataFrame | None, steps: int, seed: int) -> DataFrame:
     """Every entity with the earliest leader near it, leaders with themselves."""
     leaders = nodes.filter("leads != 0").select("combo", "id", "leads")
     taken = (
-        near.join(leaders.select("combo", F.col("id").alias("early"), "leads"), ["combo", "early"])
+        lookup(near, leaders.select("combo", F.col("id").alias("early"), "leads"), ["combo", "early"], hubs)
         .withColumn("bits", F.col("bits").bitwiseAND(F.col("leads")))
         .filter("bits != 0")
         .select("combo", F.col("late").alias("id"), F.struct(visit_key(F.col("early"), seed).alias("key"), F.col("early").alias("leader")).alias("by"), F.explode(_steps_of(F.col("bits"), steps)).alias("step"))
@@ -167,9 +171,16 @@ def _wide_clusters(combo_rows: DataFrame, edges: DataFrame, wide: dict[str, int]
     return done
 
 
-def number_clusters(clusters: DataFrame, seed: int = 42) -> DataFrame:
-    """Add ``label`` 1, 2, ... in the order in which the clusters were opened."""
-    leaders = clusters.filter("id = leader").select("combo", "step", "leader", visit_key(F.col("leader"), seed).alias("_key"))
-    order = numbered(leaders, ["combo", "step"], ["_key", "leader"], "_at")
-    labels = order.select("combo", "step", "leader", (F.col("_at") + 1).cast("int").alias("label"))
-    return clusters.join(labels, ["combo", "step", "leader"]).select("combo", "step", "id", "leader", "label")
+def cluster_sizes(clusters: DataFrame, label: str = "leader") -> DataFrame:
+    """Members per cluster; order by ``size`` descending for a report."""
+    return clusters.groupBy("combo", "step", label).agg(F.count("*").alias("size"))
+
+
+def number_clusters(clusters: DataFrame, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``label`` 1, 2, ... in the order in which the clusters were opened, and ``size``."""
+    sizes = cluster_sizes(clusters).withColumn("_key", visit_key(F.col("leader"), seed))
+    order = numbered(sizes, ["combo", "step"], ["_key", "leader"], "_at")
+    labels = cut(order.select("combo", "step", "leader", (F.col("_at") + 1).cast("int").alias("label"), "size"))
+    key = ["combo", "step", "leader"]
+    hot = hot_or_none(labels.select(*key, "size"), "size", hot_rows)
+    return lookup(clusters, labels, key, hot).select("combo", "step", "id", "leader", "label", "size")

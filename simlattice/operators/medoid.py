@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simlattice.operators.combine import Combined
+from simlattice.operators.leader import HOT_ROWS
 from simlattice.operators.matrix import mirrored
-from simlattice.runtime import choose
+from simlattice.runtime import choose, cut, hot_or_none, lookup
 
 # Tolerances within which two mean distances count as equal (fixed values).
 RELATIVE = 1e-5
@@ -17,7 +18,8 @@ ABSOLUTE = 1e-8
 
 
 def medoids(
-    combined: Combined, clusters: DataFrame, keys: Sequence[str] = (), relative: float = RELATIVE, absolute: float = ABSOLUTE
+    combined: Combined, clusters: DataFrame, keys: Sequence[str] = (), relative: float = RELATIVE, absolute: float = ABSOLUTE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Medoid and size of every cluster: ``(combo, *keys, leader, medoid, size)``.
 
@@ -30,27 +32,29 @@ def medoids(
     keys = list(keys)
     place = F.struct(*keys, F.col("leader"))
     packed = clusters.groupBy("combo", "id").agg(F.collect_list(place).alias("at"))
+    hubs = combined.hubs and combined.hubs.select("combo", "id")
+    theirs = hubs and hubs.withColumnRenamed("id", "nbr")
+    own = packed.select("combo", "id", F.col("at").alias("own"))
+    with_own = lookup(mirrored(combined.vectors, "combo", "d"), own, ["combo", "id"], hubs)
     together = (
-        mirrored(combined.vectors, "combo", "d")
-        .join(packed.select("combo", "id", F.col("at").alias("own")), ["combo", "id"])
-        .join(packed.select("combo", F.col("id").alias("nbr"), F.col("at").alias("other")), ["combo", "nbr"])
+        lookup(with_own, packed.select("combo", F.col("id").alias("nbr"), F.col("at").alias("other")), ["combo", "nbr"], theirs)
         .select("combo", "id", "d", F.explode(F.array_intersect("own", "other")).alias("c"))
         .groupBy("combo", "c", "id")
         .agg(F.sum("d").alias("total"), F.count("d").alias("stored"))
         .select("combo", "c.*", "id", "total", "stored")
     )
     group = ["combo", *keys, "leader"]
-    sizes = clusters.groupBy(*group).agg(F.count("*").alias("size"))
+    sizes = cut(clusters.groupBy(*group).agg(F.count("*").alias("size")))
+    large = hot_or_none(sizes, "size", hot_rows)
     far = choose(combined.background, F.col("combo"))
     absent = F.col("size") - 1 - F.coalesce("stored", F.lit(0))
-    members = (
-        clusters.join(together, [*group, "id"], "left")
-        .join(sizes, group)
+    members = cut(
+        lookup(clusters.join(together, [*group, "id"], "left"), sizes, group, large)
         .select(*group, "id", "size", ((F.coalesce("total", F.lit(0.0)) + absent * far) / F.col("size")).alias("mean"))
     )
     least = members.groupBy(*group).agg(F.min("mean").alias("least"))
     return (
-        members.join(least, group)
+        lookup(members, least, group, large)
         .filter(F.col("mean") - F.col("least") <= absolute + relative * F.abs("least"))
         .groupBy(*group)
         .agg(F.min("id").alias("medoid"), F.first("size").alias("size"))

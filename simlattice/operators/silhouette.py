@@ -8,17 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simlattice.operators.combine import Combined
-from simlattice.operators.leader import number_clusters
+from simlattice.operators.leader import cluster_sizes, number_clusters
 from simlattice.operators.matrix import mirrored
-from simlattice.runtime import choose, cut, numbered
-
-# Stored pairs of one entity that a single task may hold.
-ROW_LIMIT = 200_000
-
-
-def cluster_sizes(clusters: DataFrame, label: str = "leader") -> DataFrame:
-    """Members per cluster; order by ``size`` descending for a report."""
-    return clusters.groupBy("combo", "step", label).agg(F.count("*").alias("size"))
+from simlattice.runtime import choose, cut, lookup, numbered
 
 
 def cluster_counts(clusters: DataFrame, label: str = "leader") -> DataFrame:
@@ -28,7 +20,7 @@ def cluster_counts(clusters: DataFrame, label: str = "leader") -> DataFrame:
     )
 
 
-def silhouette(combined: Combined, clusters: DataFrame, singleton: str = "one", row_limit: int = ROW_LIMIT) -> DataFrame:
+def silhouette(combined: Combined, clusters: DataFrame, singleton: str = "one") -> DataFrame:
     """Average silhouette ``(combo, step, silhouette, n_clusters)`` of at least two clusters.
 
     Per entity: ``a`` is the mean distance to its own cluster (0 if alone), ``b``
@@ -37,35 +29,35 @@ def silhouette(combined: Combined, clusters: DataFrame, singleton: str = "one",
 
     Only stored pairs are read. The absent ones of a cluster are copies of the
     background distance and enter means and medians as counts. The pairs of one
-    entity are scored together for all thresholds; an entity with more than
-    ``row_limit`` of them is ranked over many tasks instead.
+    entity are scored together for all thresholds; those of a hub are ranked over
+    many tasks instead.
     """
     if singleton not in ("one", "zero"):
         raise ValueError("singleton is 'one' or 'zero'")
     labeled = cut(number_clusters(clusters))
-    sizes = cluster_sizes(labeled, "label")
-    counts = {(r["combo"], r["step"]): r["n"] for r in sizes.groupBy("combo", "step").agg(F.count("*").alias("n")).collect()}
+    counts = {(r["combo"], r["step"]): r["n"] for r in labeled.groupBy("combo", "step").agg(F.max("label").alias("n")).collect()}
     scored = {at: n for at, n in counts.items() if n >= 2}
     if not scored:
         return combined.vectors.sparkSession.createDataFrame([], "combo string, step int, silhouette double, n_clusters long")
     entry = F.struct("step", "label", F.col("size").cast("int").alias("size"))
     packed = cut(
-        labeled.join(sizes, ["combo", "step", "label"]).groupBy("combo", "id").agg(F.sort_array(F.collect_list(entry)).alias("at"))
+        labeled.groupBy("combo", "id").agg(F.sort_array(F.collect_list(entry)).alias("at"))
         .select("combo", "id", F.col("at.step").alias("steps"), F.col("at.label").alias("labels"), F.col("at.size").alias("sizes"))
     )
     pairs = mirrored(combined.vectors, "combo", "d")
-    hot = cut(pairs.groupBy("combo", "id").count().filter(F.col("count") > row_limit).select("combo", "id"))
-    crowded = hot.limit(1).count() > 0
-
-    ends = packed.select("combo", F.col("id").alias("nbr"), "steps", "labels", "sizes")
-    rows = (pairs.join(hot, ["combo", "id"], "left_anti") if crowded else pairs).join(ends, ["combo", "nbr"])
-    own = packed.join(hot, ["combo", "id"], "left_anti") if crowded else packed
-    rows = rows.select("combo", "id", "d", "steps", "labels", "sizes").unionByName(
+    hubs = combined.hubs
+    theirs = hubs and hubs.select("combo", F.col("id").alias("nbr"))
+    ends = packed.withColumnRenamed("id", "nbr")
+    rows, own = pairs, packed
+    if hubs is not None:
+        few = F.broadcast(hubs.select("combo", "id"))
+        rows, own = pairs.join(few, ["combo", "id"], "left_anti"), packed.join(few, ["combo", "id"], "left_anti")
+    rows = lookup(rows, ends, ["combo", "nbr"], theirs).select("combo", "id", "d", "steps", "labels", "sizes").unionByName(
         own.select("combo", "id", F.lit(None).cast("double").alias("d"), "steps", "labels", "sizes")
     )
     points = rows.groupBy("combo", "id").applyInArrow(_scorer(scored, combined.background), "combo string, step int, size long, a double, b double")
-    if crowded:
-        points = points.unionByName(_crowded_points(combined, pairs, packed, hot, scored))
+    if hubs is not None:
+        points = points.unionByName(_hub_points(combined, pairs, packed, hubs.select("combo", "id"), scored))
     top = F.greatest("a", "b")
     s = F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
     if singleton == "zero":
@@ -136,15 +128,16 @@ def _medians(d: np.ndarray, label: np.ndarray, size: np.ndarray, far: float) ->
     return (at((size - 1) // 2) + at(size // 2)) / 2
 
 
-def _crowded_points(combined: Combined, pairs: DataFrame, packed: DataFrame, hot: DataFrame, scored: dict) -> DataFrame:
+def _hub_points(combined: Combined, pairs: DataFrame, packed: DataFrame, hubs: DataFrame, scored: dict) -> DataFrame:
     """The same for entities with very many stored pairs, whose ranks span tasks."""
     spark = packed.sparkSession
     far = choose(combined.background, F.col("combo"))
     table = F.broadcast(spark.createDataFrame([(c, t, n) for (c, t), n in scored.items()], "combo string, step int, n_clusters long"))
-    mine = packed.join(hot, ["combo", "id"], "left_semi")
+    mine = packed.join(F.broadcast(hubs), ["combo", "id"], "left_semi")
+    theirs = hubs.withColumnRenamed("id", "nbr")
+    stored = pairs.join(F.broadcast(mine.select("combo", "id", F.col("labels").alias("mine"))), ["combo", "id"])
     rows = (
-        pairs.join(mine.select("combo", "id", F.col("labels").alias("mine")), ["combo", "id"])
-        .join(packed.withColumnRenamed("id", "nbr"), ["combo", "nbr"])
+        lookup(stored, packed.withColumnRenamed("id", "nbr"), ["combo", "nbr"], theirs)
         .select("combo", "id", "nbr", "d", F.explode(F.arrays_zip("steps", "mine", "labels", "sizes")).alias("p"))
         .select("combo", "id", "nbr", "d", F.col("p.steps").alias("step"), (F.col("p.mine") == F.col("p.labels")).alias("same"), F.col("p.labels").alias("label"), F.col("p.sizes").alias("size"))
         .join(table.select("combo", "step"), ["combo", "step"])

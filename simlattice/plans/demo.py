@@ -12,11 +12,11 @@ from simlattice.operators import compare, distribution, evaluate, matrix, neighb
 from simlattice.operators.align import align, align_report, align_to_anchor, restrict, sample_ids, shared_entities
 from simlattice.operators.combine import combine_distances, combo_stats, source_combinations, threshold_range, threshold_table
 from simlattice.operators.embed import distance_plane, kmeans_clusters
-from simlattice.operators.leader import leader_clusters, number_clusters
+from simlattice.operators.leader import cluster_sizes, leader_clusters, number_clusters
 from simlattice.operators.matrix import Matrices, build_matrices
 from simlattice.operators.medoid import medoids
 from simlattice.operators.normalize import normalize, positive_range, to_distance, value_stats, with_background
-from simlattice.operators.silhouette import cluster_counts, cluster_sizes
+from simlattice.operators.silhouette import cluster_counts
 from simlattice.plans.comparison import cluster_combinations, compare_sources, source_distances
 from simlattice.plans.evaluation import evaluate_sources, evaluate_vectors
 from simlattice.runtime import cut

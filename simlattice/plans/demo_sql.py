@@ -362,7 +362,7 @@ ORACLES["threshold_ranges"] = _with(
 
 # Clustering
 
-ORACLES["leader_labels"] = _with(_leaders(), "SELECT combo, step, id, leader, label FROM clusters", True)
+ORACLES["leader_labels"] = _with(_leaders(), "SELECT combo, step, id, leader, label, size FROM clusters JOIN sizes USING (combo, step, leader)", True)
 ORACLES["silhouette_sweep"] = _with(
     _best(), "SELECT combo, step, round(t1, 6) AS t1, round(silhouette, 6) AS silhouette, n_clusters, is_best FROM swept", True
 )

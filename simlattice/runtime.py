@@ -102,6 +102,26 @@ def with_next(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     )
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` that has one row per key.
+
+    ``hot(keys)`` lists the keys that hold very many rows. There are few of
+    them by the count that made them hot, so their part of the table is
+    broadcast and none of their rows is shuffled to one task.
+    """
+    if hot is None:
+        return rows.join(table, keys)
+    hot = F.broadcast(hot.select(*keys))
+    frequent = rows.join(F.broadcast(table.join(hot, keys, "left_semi")), keys)
+    return frequent.unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
+
+
+def hot_or_none(counts: DataFrame, weight: str, limit: int) -> DataFrame | None:
+    """Rows of ``counts`` whose ``weight`` is above ``limit``, or None if there are none."""
+    hot = cut(counts.filter(F.col(weight) > limit))
+    return hot if hot.limit(1).count() else None
+
+
 def choose(options: dict, key: Column, cast: str = "double") -> Column:
     """Literal lookup of a driver-side constant per source or combination."""
     value = F.lit(None).cast(cast)

@@ -44,10 +44,16 @@ def combined_dense(ids, dense, combo):
     return out
 
 
-@pytest.mark.parametrize("n, share, seed, far", [(18, 1.0, 0, 0.9), (22, 0.3, 1, 1.0), (20, 0.5, 2, 0.35), (16, 0.6, 3, 0.0)])
-def test_clusters_scores_and_overlap_equal_the_sequential_rules(spark, n, share, seed, far):
+@pytest.mark.parametrize(
+    "n, share, seed, far, hub_rows", [(18, 1.0, 0, 0.9, 10**6), (22, 0.3, 1, 1.0, 7), (20, 0.5, 2, 0.35, 10), (16, 0.6, 3, 0.0, 10**6)]
+)
+def test_clusters_scores_and_overlap_equal_the_sequential_rules(spark, monkeypatch, n, share, seed, far, hub_rows):
+    if hub_rows < 100:  # large clusters and hubs take their own way
+        monkeypatch.setattr(number_clusters, "__defaults__", (42, 3))
+        monkeypatch.setattr(medoids, "__defaults__", (*medoids.__defaults__[:-1], 3))
     ids, aligned, dense = random_sources(spark, n, share, seed, {"p": far, "q": 1.0})
-    combined = combine_distances(aligned, source_combinations(["p", "q"], 1, 2))
+    combined = combine_distances(aligned, source_combinations(["p", "q"], 1, 2), hub_rows=hub_rows)
+    assert (combined.hubs is not None) == (hub_rows < 100)
     ranges = threshold_range(combined, 6)
     matrices = {c: combined_dense(ids, dense, s) for c, s in combined.combos.items()}
     for c, m in matrices.items():
@@ -67,12 +73,11 @@ def test_clusters_scores_and_overlap_equal_the_sequential_rules(spark, n, share,
         opened = [i for i in brute.order(ids) if taken[i] == i]
         assert [labels[c, step, i] for i in opened] == list(range(1, len(opened) + 1))
 
-    for limit in (200_000, 4):
-        scores = {(r["combo"], r["step"]): r["silhouette"] for r in silhouette(combined, clusters, row_limit=limit).collect()}
-        wanted = {k: brute.silhouette(ids, matrices[k[0]], v) for k, v in expected.items() if len(set(v.values())) > 1}
-        assert scores.keys() == wanted.keys()
-        for k, v in wanted.items():
-            assert scores[k] == pytest.approx(v, abs=1e-9), k
+    scores = {(r["combo"], r["step"]): r["silhouette"] for r in silhouette(combined, clusters).collect()}
+    wanted = {k: brute.silhouette(ids, matrices[k[0]], v) for k, v in expected.items() if len(set(v.values())) > 1}
+    assert scores.keys() == wanted.keys()
+    for k, v in wanted.items():
+        assert scores[k] == pytest.approx(v, abs=1e-9), k
 
     chosen = {c: min((i for i in range(6) if (c, i) in wanted), key=lambda i: (-round(wanted[c, i], 10), i)) for c in matrices}
     best, members = best_clusters(sweep(silhouette(combined, clusters), ranges), clusters, list(combined.combos))
