@@ -18,7 +18,8 @@ from simlattice.operators.medoid import medoids
 from simlattice.operators.normalize import normalize, positive_range, to_distance, value_stats, with_background
 from simlattice.operators.silhouette import cluster_counts
 from simlattice.plans.comparison import cluster_combinations, compare_sources, source_distances
-from simlattice.plans.evaluation import evaluate_sources, evaluate_vectors
+from simlattice.plans.evaluation import evaluate_sources
+from simlattice.plans.evaluation import evaluate as evaluate_job
 from simlattice.runtime import cut
 from simlattice.sources.files import last_labels
 from simlattice.sources.tables import SUPPLIER_SOURCES, supplier_links, supplier_matrices
@@ -530,4 +531,11 @@ def kmeans_labels(spark, sf_dir):
 
 @query
 def kmeans_scores(spark, sf_dir):
-    return _six(evaluate_vectors(_vectors(spark, sf_dir), _vector_labels(spark, sf_dir)).scores, "nmi", "ari", "macro_f1", "accuracy")
+    """Vectors of revenue per month and all sources, scored by the region of the supplier."""
+    lines = _table(spark, sf_dir, "lineitem")
+    months = [F.sum(F.when(F.month("l_shipdate") == m, F.col("l_extendedprice")).otherwise(0.0)) / 1e5 for m in range(1, 13)]
+    vectors = lines.groupBy(F.col("l_suppkey").alias("id")).agg(F.array(*months).alias("vector"))
+    regions = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    truth = regions.select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("label"))
+    done = evaluate_job(cut(vectors), truth, supplier_matrices(spark, sf_dir), SUPPLIER_SOURCES, anchor="follow")
+    return _six(done.scores, "topk_accuracy", "nmi", "ari", "macro_f1", "accuracy")
