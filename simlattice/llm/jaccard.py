@@ -3,11 +3,13 @@
 1. Texts with equal shingle sets are one class; the smallest id stands for it.
 2. The ``size - ceil(t * size) + 1`` shingles of lowest hash of two linked sets
    have one in common, so the sets that hold such a shingle form a cell, and
-   no link runs outside the cells. Cells with the same members are one.
+   no link runs outside the cells; the smaller set of a pair has it among its
+   ``size - ceil(2 * t / (1 + t) * size) + 1`` lowest. Of cells with the same
+   members one is kept.
 3. Every cell is first linked along its smallest id. Members that this
    connects need no second look at each other.
-4. In every cell that still holds several components, a signature tree is
-   built over the members in order of size: a leaf is the bitmap of one set, a
+4. Cells that share most of their members are merged. In every one that still
+   holds several components, a signature tree is built over the members in order of size: a leaf is the bitmap of one set, a
    node the OR of two children with their range of sizes. The dual traversal
    starts with the root against itself and drops a pair of nodes whose sizes
    exclude the similarity, whose common bits cannot hold the shingles needed,
@@ -39,6 +41,7 @@ from simlattice.runtime import cut, numbered
 BLOCK = 1024
 SALT = 2048
 BITS = 4
+BROADCAST = 300_000  # rows of four numbers, about 15 MB; longer lists are joined by shuffle
 
 
 def shingle_sets(column: pa.Array, size: int = 5):
@@ -120,7 +123,10 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: in
     heads = runs.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("place"))
     tails = pairs.join(runs, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.lit(1).alias("place"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = texts.join(cut(heads.unionByName(tails)), "id").repartition("a", "run").sortWithinPartitions("a", "run", "place")
+    wanted = cut(heads.unionByName(tails))
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    rows = texts.join(wanted, "id").repartition("a", "run").sortWithinPartitions("a", "run", "place")
 
     def run(batches):
         head, own = None, None
@@ -217,11 +223,11 @@ def tree_pairs(ids, sizes, comps, sides, sigs, percent):
     return np.minimum(*pairs), np.maximum(*pairs)
 
 
-def tree_join(members: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Pairs ``a, b`` left by the trees of all cells ``cell, id, n, comp, sig``, cut into blocks by size."""
+def tree_join(members: DataFrame, sigs: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Pairs ``a, b`` left by the trees of all cells ``cell, id, n, comp``, cut into blocks by size; ``sigs``: the bitmaps."""
     sizes = members.groupBy("cell").agg(F.count("id").alias("m"))
     large = cut(sizes.filter(F.col("m") > BLOCK))
-    small = members.join(large, "cell", "left_anti").select("cell", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(-1).alias("side"), "id", "n", "comp", "sig")
+    small = members.join(large, "cell", "left_anti").select("cell", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(-1).alias("side"), "id", "n", "comp")
     if large.limit(1).count():
         placed = numbered(members.join(large.select("cell"), "cell", "left_semi").select("cell", "id", "n", "comp"), ["cell"], ["n", "id"])
         placed = cut(placed.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long")).drop("pos"))
@@ -231,8 +237,7 @@ def tree_join(members: DataFrame, percent: int, kind: str) -> DataFrame:
         pairs = cut(pairs.select("cell", "x", "y"))
         sides = pairs.select("cell", "x", "y", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), -1).otherwise(0).alias("side"))
         sides = sides.unionByName(pairs.filter("x < y").select("cell", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side")))
-        blocked = placed.join(sides, ["cell", "block"]).join(members.select("cell", "id", "sig"), ["cell", "id"])
-        small = small.unionByName(blocked.select("cell", "x", "y", "side", "id", "n", "comp", "sig"))
+        small = small.unionByName(placed.join(sides, ["cell", "block"]).select("cell", "x", "y", "side", "id", "n", "comp"))
 
     def run(batches):
         held, key = [], None
@@ -257,7 +262,7 @@ def tree_join(members: DataFrame, percent: int, kind: str) -> DataFrame:
         if held:
             yield solve()
 
-    return small.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return small.join(sigs, "id").repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -270,45 +275,62 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     classes = rows.filter("n > 0 and id is not null").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep"))
     rows_of = cut(rows.select("id", "n", "fp1", "fp2").join(classes, ["n", "fp1", "fp2"], "left").select("id", "n", "rep"))
     reps = rows.join(classes.select("n", "fp1", "fp2", F.col("rep").alias("id")), ["n", "fp1", "fp2", "id"], "left_semi")
-    prefix = reps.select("id", F.explode("prefix").alias("cell"))
+    inner = F.expr(f"n - div(2 * {percent} * n + {99 + percent}, {100 + percent}) + 1")
+    prefix = reps.select("id", "n", F.posexplode("prefix").alias("pos", "cell")).select("cell", "id", (F.col("pos") >= inner).alias("outer"))
     held = cut(_shared(prefix, kind))
-    cells = held.groupBy("cell").agg(F.count("id").alias("m"), F.min("id").alias("head"), F.sum(F.xxhash64("id") % 2**40).alias("mark"))
-    cells = cut(cells.groupBy("m", "head", "mark").agg(F.min("cell").alias("cell")).select("cell", "head"))
+    cells = held.groupBy("cell").agg(F.count("id").alias("m"), F.min("id").alias("head"), F.sum(F.xxhash64("id") % 2**40).alias("mark"), F.min("outer").alias("outer"))
+    cells = cut(cells.filter("not outer").groupBy("m", "head", "mark").agg(F.min("cell").alias("cell")))
     sizes = reps.select("id", "n").dropDuplicates(["id"])
-    members = cut(held.join(cells, "cell").join(sizes, "id"))
+    members = cut(held.select("cell", "id").join(cells.select("cell", "head", "m"), "cell").join(sizes, "id"))
     first = sizes.select(F.col("id").alias("head"), F.col("n").alias("head_n"))
     star = members.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), "n").distinct().join(first.withColumnRenamed("head", "a"), "a")
     star = star.filter(100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")).select("a", "b")
     sigs = reps.select("id", "sig").dropDuplicates(["id"])
     linked = verified(docs, _screened(star, reps, percent, kind), key, text, percent, size)
     comp = components(linked)
-    rest = members.join(comp, "id", "left").select("cell", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    rest = cut(_merged(members)).join(sizes, "id").join(comp, "id", "left").select("cell", "id", "n", F.coalesce("comp", "id").alias("comp"))
     mixed = rest.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("cell")
-    open_cells = cut(rest.join(mixed, "cell").join(sigs, "id"))
-    more = verified(docs, tree_join(open_cells, percent, kind), key, text, percent, size)
+    open_cells = cut(rest.join(mixed, "cell"))
+    more = verified(docs, tree_join(open_cells, sigs, percent, kind), key, text, percent, size)
     return rows_of, linked.unionByName(more)
 
 
+def _merged(members: DataFrame) -> DataFrame:
+    """``cell, id`` with every cell renamed to the larger one that it shares half of its members with.
+
+    The larger one is the largest cell of the smallest member, so cells that
+    one passage makes become one. All members of a cell get the same name, so
+    no pair of a cell is parted.
+    """
+    best = members.groupBy("id").agg(F.max(F.struct("m", "cell")).alias("best"))
+    heads = members.filter("id = head").select("cell", "id", "m").join(best, "id").filter("best.m > m").select("cell", F.col("best.cell").alias("parent"))
+    inside = members.select("cell", "id", "m").join(heads, "cell").join(members.select(F.col("cell").alias("parent"), "id"), ["parent", "id"])
+    near = cut(inside.groupBy("cell", "parent", "m").agg(F.count("id").alias("shared")).filter("2 * shared >= m").select("cell", "parent"))
+    above = near.select(F.col("cell").alias("parent"), F.col("parent").alias("far"))
+    name = near.join(above, "parent", "left").select("cell", F.coalesce("far", "parent").alias("name"))
+    return members.join(name, "cell", "left").select(F.coalesce("name", "cell").alias("cell"), "id").distinct()
+
+
 def _shared(prefix: DataFrame, kind: str) -> DataFrame:
-    """Rows ``cell, id`` whose cell has another row; the others end in the task that sorts them."""
+    """Rows ``cell, id, outer`` whose cell has another row; the others end in the task that sorts them."""
 
     def run(batches):
         last = None  # the last row so far and whether it has met an equal one
         for batch in batches:
             if not len(batch):
                 continue
-            cell, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cell, ids, outer = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             if last is not None:
-                cell, ids = np.append(last[0], cell), np.append(last[1], ids)
+                cell, ids, outer = np.append(last[0], cell), np.append(last[1], ids), np.append(last[2], outer)
             same = cell[1:] == cell[:-1]
-            keep = np.append(last is not None and last[2], same) | np.append(same, False)
-            last = cell[-1:], ids[-1:], bool(keep[-1])
+            keep = np.append(last is not None and last[3], same) | np.append(same, False)
+            last = cell[-1:], ids[-1:], outer[-1:], bool(keep[-1])
             keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(ids[keep])], ["cell", "id"])
-        if last is not None and last[2]:
-            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["cell", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (cell, ids, outer)], ["cell", "id", "outer"])
+        if last is not None and last[3]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:3]], ["cell", "id", "outer"])
 
-    return prefix.select("cell", "id").repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, f"cell long, id {kind}")
+    return prefix.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(run, f"cell long, id {kind}, outer boolean")
 
 
 def _screened(pairs: DataFrame, reps: DataFrame, percent: int, kind: str) -> DataFrame:
@@ -338,6 +360,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return whole
 
 
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, each id once; rows without an id stay."""
+    found = cut(jaccard_components(docs, key, text, percent, size).filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(key).alias("_rows")))
+    kept = docs.join(found.select(key), key, "left_semi").select(*docs.columns)
+    if found.filter("_rows > 1").limit(1).count():
+        kept = kept.dropDuplicates([key])
+    return kept.unionByName(docs.filter(F.col(key).isNull()))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its set size and its component of linked documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
