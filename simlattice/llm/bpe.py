@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from simlattice.llm.words import buffers, chunks, span_hashes
 
-WINDOW = 24_000_000
+WINDOW = 12_000_000
 _SPECIAL = np.uint64(1)
 
 # The white space of Unicode, and the endings that a word-initial apostrophe takes along.
@@ -328,8 +328,8 @@ def _with(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Count and SHA-256 of the ids of every text, and SHA-256 of what they decode to."""
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Count and SHA-256 of the ids of every text, and SHA-256 of what they decode to; ``with_ids``: the ids too."""
     model = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches):
@@ -339,10 +339,15 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
             of_ids = [hashlib.sha256(packed[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
             of_text = [hashlib.sha256(t).hexdigest() for t in decode_ids(ids, counts, model.value)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(key), pa.array(counts), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
