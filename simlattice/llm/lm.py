@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from simlattice.llm.words import buffers, chunks, lower_ascii, mix, span_hashes, word_spans
 from simlattice.runtime import cut
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _FACTORS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _LOW = np.uint64((1 << 40) - 1)
