@@ -69,7 +69,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: in
     once = sized.groupBy(*_KEYS, "doc_id").agg(F.sum("size").alias("size"))
     placed = running_totals(once.withColumn("order", seeded(F.col("doc_id"), seed)).select(*_KEYS, "order", "size"), _KEYS, ["order"], "size")
     budgets = sources.select(*_KEYS, "docs", "budget")
-    taken = _per_source(placed, budgets, sources).filter(2 * F.col("before") + F.col("size") <= 2 * F.col("budget"))
+    taken = _per_source(placed, budgets, sources).filter((F.col("budget") > 0) & (2 * F.col("before") + F.col("size") <= 2 * F.col("budget")))
     last = taken.groupBy(*_KEYS).agg(F.max("order").alias("last"))
     return cut(sources.join(last, _KEYS, "left").select(*_KEYS, "docs", "source_size", "target", "whole", "last"))
 
