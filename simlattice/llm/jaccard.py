@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from simlattice.llm.words import buffers, chunks, lower_ascii, mix, shingle_hashes, span_hashes, word_spans
 from simlattice.runtime import cut, numbered
 
-BLOCK = 1024
+BLOCK = 4096
+FRONTIER = 500_000
 SALT = 2048
 BITS = 4
 BROADCAST = 300_000  # rows of four numbers, about 15 MB; longer lists are joined by shuffle
@@ -169,8 +170,14 @@ def dual_traversal(bits, sizes, comps, narrow, sides, percent):
         b, low, high, spare, c_low, c_high = levels[-1]
         even, odd = np.arange(0, len(low), 2), np.minimum(np.arange(0, len(low), 2) + 1, len(low) - 1)
         levels.append((b[even] | b[odd], np.minimum(low[even], low[odd]), np.maximum(high[even], high[odd]), np.maximum(spare[even], spare[odd]), np.minimum(c_low[even], c_low[odd]), np.maximum(c_high[even], c_high[odd])))
-    x = y = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
+    root = np.zeros(min(1, n), np.int64)
+    open_pairs, found = [(len(levels) - 1, root, root)], [np.zeros((2, 0), np.int64)]
+    while open_pairs:  # depth first in bounded pieces, so the pairs held at once stay few
+        depth, x, y = open_pairs.pop()
+        if len(x) > FRONTIER:
+            half = len(x) // 2
+            open_pairs += [(depth, x[half:], y[half:]), (depth, x[:half], y[:half])]
+            continue
         b, low, high, spare, c_low, c_high = levels[depth]
         keep = (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
         keep &= ~((c_low[x] == c_high[x]) & (c_low[y] == c_high[y]) & (c_low[x] == c_low[y]))
@@ -186,12 +193,11 @@ def dual_traversal(bits, sizes, comps, narrow, sides, percent):
             keep[i : i + step] = common >= needed[i : i + step]
         x, y = x[keep], y[keep]
         if depth == 0:
-            break
-        last = len(levels[depth - 1][1])
-        kids = _children(x, y)
-        kids = kids[:, (kids < last).all(axis=0)]
-        x, y = kids
-    return (x, y) if n > 1 else (x[:0], y[:0])
+            found.append(np.stack([x, y]))
+        elif len(x):
+            kids = _children(x, y)
+            open_pairs.append((depth - 1, *kids[:, (kids < len(levels[depth - 1][1])).all(axis=0)]))
+    return np.concatenate(found, axis=1)
 
 
 def _children(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -363,7 +369,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, each id once; rows without an id stay."""
     found = cut(jaccard_components(docs, key, text, percent, size).filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(key).alias("_rows")))
-    kept = docs.join(found.select(key), key, "left_semi").select(*docs.columns)
+    ids = found.select(key)
+    kept = docs.join(F.broadcast(ids) if found.count() <= BROADCAST else ids, key, "left_semi").select(*docs.columns)
     if found.filter("_rows > 1").limit(1).count():
         kept = kept.dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(key).isNull()))
