@@ -104,7 +104,7 @@ def overlap_scores(detail: DataFrame) -> DataFrame:
 
     Overall: mean over the clusters of ``base`` of the mean score of the clusters
     mapped to them. Filtered: flat mean without hits of two single members; 0 if
-    nothing is left.
+    nothing is left. Both are snapped to 12 digits, which the order of addition does not reach.
     """
     lone = (F.col("shared") == 1) & (F.col("size_a") == 1) & (F.col("size_c") == 1)
     kept = F.when(~lone, F.col("score"))
@@ -112,8 +112,8 @@ def overlap_scores(detail: DataFrame) -> DataFrame:
         F.avg("score").alias("score"), F.sum(kept).alias("kept_sum"), F.count(kept).alias("kept_n")
     )
     return per_cluster.groupBy("base", "other").agg(
-        F.avg("score").alias("overlap"),
-        F.when(F.sum("kept_n") > 0, F.sum("kept_sum") / F.sum("kept_n")).otherwise(0.0).alias("filtered_overlap"),
+        F.round(F.avg("score"), 12).alias("overlap"),
+        F.when(F.sum("kept_n") > 0, F.round(F.sum("kept_sum") / F.sum("kept_n"), 12)).otherwise(0.0).alias("filtered_overlap"),
     )
 
 

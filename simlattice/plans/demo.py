@@ -185,7 +185,7 @@ def symmetrize(spark, sf_dir):
 def symmetric_cells(spark, sf_dir):
     pairs = supplier_matrices(spark, sf_dir).pairs
     return matrix.mirrored(pairs, "source", "similarity").groupBy("source", "id").agg(
-        F.count("*").alias("neighbors"), F.round(F.sum("similarity"), 4).alias("total")
+        F.count("*").alias("neighbors"), (F.sum(F.round(F.col("similarity") * 1e6).cast("long")) / 1e6).alias("total")
     )
 
 
@@ -330,13 +330,13 @@ def best_thresholds(spark, sf_dir):
 @query
 def largest_clusters(spark, sf_dir):
     combined = _combined(spark, sf_dir)
-    return cluster_sizes(leader_clusters(combined, threshold_range(combined, 8)))
+    return cluster_sizes(leader_clusters(combined, threshold_range(combined)))
 
 
 @query
 def singleton_ratio(spark, sf_dir):
     combined = _combined(spark, sf_dir)
-    return _six(cluster_counts(leader_clusters(combined, threshold_range(combined, 8))), "single_point_ratio")
+    return _six(cluster_counts(leader_clusters(combined, threshold_range(combined))), "single_point_ratio")
 
 
 @query
@@ -486,9 +486,9 @@ def source_accuracy(spark, sf_dir):
 
 
 def _label_rows(spark, sf_dir):
-    """Vector labels with a cluster both engines can derive: the largest of the first ten values."""
-    first = F.slice(F.col("embedding"), 1, 10)
-    cluster = (F.array_position(first, F.array_max(first)) - 1).cast("int")
+    """Vector labels with a cluster both engines can derive: the place of the largest value."""
+    vector = F.col("embedding")
+    cluster = (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
     return _table(spark, sf_dir, "embeddings").select("label", cluster.alias("cluster"))
 
 

@@ -273,7 +273,7 @@ ORACLES["symmetrize"] = _with(
 )
 ORACLES["symmetric_cells"] = _with(
     PAIRS,
-    """SELECT source, id, count(*) AS neighbors, round(sum(similarity), 4) AS total FROM (
+    """SELECT source, id, count(*) AS neighbors, sum(CAST(round(similarity * 1e6) AS BIGINT)) / 1e6 AS total FROM (
   SELECT source, id1 AS id, similarity FROM pairs UNION ALL SELECT source, id2, similarity FROM pairs) GROUP BY source, id""",
 )
 ORACLES["upper_aligned"] = _with(
@@ -372,9 +372,9 @@ ORACLES["best_thresholds"] = _with(
        round(single_point_ratio, 6) AS single_point_ratio FROM best""",
     True,
 )
-ORACLES["largest_clusters"] = _with(_leaders(8), "SELECT combo, step, leader, size FROM sizes", True)
+ORACLES["largest_clusters"] = _with(_leaders(), "SELECT combo, step, leader, size FROM sizes", True)
 ORACLES["singleton_ratio"] = _with(
-    _leaders(8), "SELECT combo, step, n_clusters, round(single_point_ratio, 6) AS single_point_ratio FROM counts", True
+    _leaders(), "SELECT combo, step, n_clusters, round(single_point_ratio, 6) AS single_point_ratio FROM counts", True
 )
 ORACLES["cluster_medoids"] = _with(_best(), _medoids(1e-5, 1e-8), True)
 ORACLES["first_medoids"] = _with(_best(), _medoids(0.0, 1e-12), True)
@@ -393,7 +393,7 @@ ORACLES["overlap_matrix"] = _with(
     ],
     """SELECT o.base, round(b.silhouette, 6) AS base_silhouette, b.n_clusters AS base_cluster_size, o.other AS compared_with,
        round(c.silhouette, 6) AS compared_with_silhouette, c.n_clusters AS compared_cluster_size,
-       round(overlap, 6) AS overlap_ratio, round(filtered, 6) AS filtered_overlap_ratio
+       round(round(overlap, 12), 6) AS overlap_ratio, round(round(filtered, 12), 6) AS filtered_overlap_ratio
 FROM overall o JOIN filtered USING (base, other) JOIN best b ON b.combo = o.base JOIN best c ON c.combo = o.other""",
     True,
 )
@@ -540,7 +540,7 @@ ORACLES["source_accuracy"] = _with(
 FROM top JOIN truth a ON a.id = top.id JOIN truth b ON b.id = top.nbr GROUP BY source""",
 )
 LABELED = [
-    "rows_ AS (SELECT label, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS cluster FROM embeddings)",
+    "rows_ AS (SELECT label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS cluster FROM embeddings)",
     "table_ AS (SELECT label, cluster, count(*) AS n FROM rows_ GROUP BY label, cluster)",
     "a_ AS (SELECT label, sum(n) AS a FROM table_ GROUP BY label)",
     "b_ AS (SELECT cluster, sum(n) AS b FROM table_ GROUP BY cluster)",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules["simlattice"])
 
 _own_folder: str | None = None
+_folders: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,13 +37,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete the tables of an application when its driver ends; nothing is left to do if the JVM has gone."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends at files that outlive executors, the columns stay
     prunable and the file size tells Catalyst whether a broadcast is safe.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/simlattice/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/simlattice/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,30 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simlattice.operators.combine import Combined
-from simlattice.operators.matrix import mirrored
 from simlattice.runtime import numbered
 
-# Entities up to which a matrix may be written with one column per entity.
-WIDE_LIMIT = 2000
-
-
 def save_distances(combined: Combined, path: str) -> None:
     """Vector distances of all combinations, one folder per combination."""
     combined.vectors.write.mode("overwrite").partitionBy("combo").parquet(path)
 
 
-def save_wide_distances(combined: Combined, combo: str, path: str) -> None:
-    """Matrix of one combination as CSV with one column per entity; tuples as text."""
-    if combined.n > WIDE_LIMIT:
-        raise ValueError(f"a wide file is limited to {WIDE_LIMIT} entities; use save_distances")
-    names = [r["id"] for r in combined.ids.orderBy("id").collect()]
-    cells = mirrored(combined.vectors.filter(F.col("combo") == combo), "dists")
-    one = len(combined.combos[combo]) == 1
-    text = F.col("dists")[0].cast("string") if one else F.concat(F.lit("("), F.concat_ws(", ", F.transform("dists", lambda x: x.cast("string"))), F.lit(")"))
-    wide = cells.groupBy("id").pivot("nbr", names).agg(F.first(text))
-    combined.ids.select("id").join(wide, "id", "left").coalesce(1).sortWithinPartitions("id").write.mode("overwrite").csv(path, header=True)
-
-
 def append_results(rows: DataFrame, path: str) -> None:
     """Add result rows to a table, which is created on the first call."""
     rows.write.mode("append").parquet(path)

@@ -80,20 +80,25 @@ def rejected_lines(spark: SparkSession, path: str, url_keys: bool = False) -> Da
 def read_wide_matrix(spark: SparkSession, path: str, source: str, clean: bool = True) -> Matrices:
     """Wide CSV: the first column names the row, the others are its cells in row order.
 
-    The cell above the diagonal is the one that counts. Missing and infinite
-    cells become 0; ``clean=False`` keeps them.
+    Cells are read by position: the j-th belongs to the j-th row, whatever the
+    header says. The cell above the diagonal is the one that counts. Missing
+    and infinite cells become 0; ``clean=False`` keeps them.
     """
     table = spark.read.csv(path, header=True)
     first, *names = table.columns
     cells = F.array(*[number(F.col(f"`{c}`")) for c in names])
-    order = F.array(*[F.lit(c) for c in names])
-    rows = table.select(F.col(f"`{first}`").alias("id1"), F.posexplode(cells).alias("at", "value"))
-    rows = rows.withColumn("row", F.array_position(order, F.col("id1")) - 1).filter(F.col("at") >= F.col("row"))
+    rows = table.select(
+        F.col(f"`{first}`").alias("id1"), cells.alias("cells"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"),
+    )
+    rows = cut(numbered(rows, [], ["_file", "_start", "_line"], "row").select("row", "id1", "cells"))
+    others = rows.select(F.col("row").alias("at"), F.col("id1").alias("id2"))
+    cell = rows.select("row", "id1", F.posexplode("cells").alias("at", "value")).filter(F.col("at") >= F.col("row"))
     value = finite(F.col("value")) if clean else F.col("value")
-    pairs = rows.select(F.lit(source).alias("source"), "id1", F.get(order, F.col("at")).alias("id2"), value.alias("similarity"))
-    upper = pairs.select("source", F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "similarity")
+    pairs = cell.withColumn("at", F.col("at").cast("long")).join(others, "at").withColumn("similarity", value)
+    upper = pairs.select(F.lit(source).alias("source"), F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "similarity")
     stored = upper.filter(F.col("similarity").isNull() | (F.col("similarity") != 0))
-    return Matrices(stored, table.select(F.lit(source).alias("source"), F.col(f"`{first}`").alias("id")).distinct())
+    return Matrices(stored, rows.select(F.lit(source).alias("source"), F.col("id1").alias("id")).distinct())
 
 
 def read_positional_matrix(spark: SparkSession, index_path: str, result_path: str, source: str) -> Matrices:
@@ -191,9 +196,16 @@ def load_sources(spark: SparkSession, registry: dict[str, Loader], names: list[s
 def cached(spark: SparkSession, folder: str, build: Callable[[], Matrices]) -> Matrices:
     """Matrices saved in ``folder``, computed and saved there on the first call.
 
-    Spark leaves an existing table alone and does not run the plan again.
+    A hit needs both tables whole, i.e. with the mark that Spark leaves at the
+    end of a write; then ``build`` does not run.
     """
-    data = build()
-    data.pairs.write.mode("ignore").parquet(f"{folder}/pairs")
-    data.ids.write.mode("ignore").parquet(f"{folder}/ids")
-    return Matrices(spark.read.parquet(f"{folder}/pairs"), spark.read.parquet(f"{folder}/ids"))
+    parts = [f"{folder}/{name}" for name in Matrices._fields]
+    if not all(_complete(spark, part) for part in parts):
+        for table, part in zip(build(), parts):
+            table.write.mode("overwrite").parquet(part)
+    return Matrices(*(spark.read.parquet(part) for part in parts))
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)

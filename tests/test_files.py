@@ -41,6 +41,10 @@ def test_wide_matrix(spark, tmp_path):
     data = files.read_wide_matrix(spark, str(path), "s")
     assert cells(data.pairs) == {("o/a", "o/b"): 0.5, ("o/a", "o/a"): 1.0}
     assert sorted(r["id"] for r in data.ids.collect()) == ["c.d", "o/a", "o/b"]
+    for header in ("Repo,0,1,2", "Repo,a,a,c"):
+        path.write_text(f"{header}\na,0,0.5,0.1\nb,9,1,0.2\nc,9,9,0\n")
+        assert cells(files.read_wide_matrix(spark, str(path), "s").pairs) == {("a", "b"): 0.5, ("a", "c"): 0.1, ("b", "b"): 1.0, ("b", "c"): 0.2}
+    path.write_text("Repo,o/b,o/a,c.d\no/b,0,0.5,\no/a,0.9,1,inf\nc.d,3,0.7,0\n")
     raw = cells(files.read_wide_matrix(spark, str(path), "s", clean=False).pairs)
     assert raw["c.d", "o/b"] is None and math.isinf(raw["c.d", "o/a"])
 
@@ -76,6 +80,13 @@ def test_registry_and_cache(spark, tmp_path):
     again = files.cached(spark, str(tmp_path / "c"), lambda: build_matrices(frame.withColumn("similarity", F.lit(9.0))))
     assert cells(first.pairs) == cells(again.pairs) == {("a", "b"): 1.0}
 
+    def never():
+        raise AssertionError("a hit must not build")
+
+    files.cached(spark, str(tmp_path / "c"), never)
+    first.pairs.write.parquet(str(tmp_path / "half" / "pairs"))
+    assert cells(files.cached(spark, str(tmp_path / "half"), lambda: build_matrices(frame)).pairs) == {("a", "b"): 1.0}
+
 
 def test_sinks(spark, tmp_path):
     pairs = spark.createDataFrame([("p", "a", "b", 0.5), ("q", "a", "b", 0.25), ("q", "b", "c", 1.0)], "source string, id1 string, id2 string, distance double")
@@ -83,9 +94,6 @@ def test_sinks(spark, tmp_path):
     combined = combine_distances(Aligned(pairs, ids, 3, ["p", "q"], {"p": 1.0, "q": 1.0}, {"p": 1, "q": 2}), {"p": ("p",), "p_q": ("p", "q")})
     sinks.save_distances(combined, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).groupBy("combo").count().count() == 2
-    sinks.save_wide_distances(combined, "p_q", str(tmp_path / "w"))
-    wide = {r["id"]: r for r in spark.read.csv(str(tmp_path / "w"), header=True).collect()}
-    assert wide["a"]["b"] == "(0.5, 0.25)" and wide["c"]["b"] == "(1.0, 1.0)"
 
     rows = spark.createDataFrame([("b", 2.0), ("a", 1.0)], "name string, v double")
     for _ in range(2):
