@@ -12,6 +12,8 @@ each stored pair once, not once per threshold.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from simlattice.runtime import choose, cut, hot_or_none, lookup, numbered
 
 # Members of one cluster above which its rows are not shuffled to meet its label.
 HOT_ROWS = 1_000_000
+# Thresholds in one mask, which is a long.
+MASK_STEPS = 62
 
 
 def visit_key(id: Column, seed: int = 42) -> Column:
@@ -41,7 +45,15 @@ def _steps_of(mask: Column, steps: int) -> Column:
 
 
 def leader_clusters(combined: Combined, ranges: dict[str, list[float]], seed: int = 42) -> DataFrame:
-    """Clusters ``(combo, step, id, leader)`` of all combinations and thresholds."""
+    """Clusters ``(combo, step, id, leader)`` of all combinations and thresholds, one mask of thresholds after another."""
+    parts = []
+    for first in range(0, max(len(t) for t in ranges.values()), MASK_STEPS):
+        part = {c: t[first : first + MASK_STEPS] for c, t in ranges.items() if len(t) > first}
+        parts.append(_masked_clusters(combined, part, seed).withColumn("step", F.col("step") + F.lit(first)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _masked_clusters(combined: Combined, ranges: dict[str, list[float]], seed: int) -> DataFrame:
     steps = max(len(t) for t in ranges.values())
     full = (1 << steps) - 1
     # Steps from which the pairs that are not stored are near as well.

@@ -11,7 +11,7 @@ from simlattice.functions import numeric, text
 from simlattice.operators import compare, distribution, evaluate, matrix, neighbors, overlap, similarity
 from simlattice.operators.align import align, align_report, align_to_anchor, restrict, sample_ids, shared_entities
 from simlattice.operators.combine import combine_distances, combo_stats, source_combinations, threshold_range, threshold_table
-from simlattice.operators.embed import distance_plane, kmeans_clusters
+from simlattice.operators.embed import distance_planes, kmeans_clusters
 from simlattice.operators.leader import cluster_sizes, leader_clusters, number_clusters
 from simlattice.operators.matrix import Matrices, build_matrices
 from simlattice.operators.medoid import medoids
@@ -353,8 +353,8 @@ def first_medoids(spark, sf_dir):
 
 @query
 def distance_embedding(spark, sf_dir):
-    done = cluster_combinations(_distances(spark, sf_dir), low=1, high=1)
-    return distance_plane(done.combined, "pace", done.labels)
+    done = _clustered(spark, sf_dir)
+    return distance_planes(done.combined, done.labels)
 
 
 # Overlap
@@ -388,12 +388,12 @@ def spearman_nonzero(spark, sf_dir):
 
 @query
 def permutation_p(spark, sf_dir):
-    return _six(compare.permutation_test(_normal(spark, sf_dir), "follow", "alike", resamples=200), "rho", "p_value")
+    return _six(compare.permutation_test(_normal(spark, sf_dir), "follow", "alike"), "rho", "p_value")
 
 
 @query
 def permutation_histogram(spark, sf_dir):
-    null = compare.permutation_null(_normal(spark, sf_dir), "follow", "alike", resamples=200)
+    null = compare.permutation_null(_normal(spark, sf_dir), "follow", "alike")
     rows = null.select(F.lit("follow|alike").alias("source"), F.col("rho").alias("value"), F.lit(1).cast("long").alias("w"))
     return _six(distribution.histogram(cut(rows), bins=30, density=True), "low", "high", "frequency")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import brute
 from simlattice.operators.align import Aligned
 from simlattice.operators.combine import combine_distances, combo_stats, source_combinations, threshold_range
-from simlattice.operators.embed import distance_plane
+from simlattice.operators.embed import distance_planes
 from simlattice.operators.leader import leader_clusters, number_clusters
 from simlattice.operators.medoid import medoids
 from simlattice.operators.overlap import nested_pairs, overlap_detail, overlap_scores
@@ -98,6 +98,21 @@ def test_clusters_scores_and_overlap_equal_the_sequential_rules(spark, monkeypat
         assert got[a, b] == pytest.approx(want), (a, b)
 
 
+def test_a_hundred_thresholds(spark):
+    ids, aligned, dense = random_sources(spark, 14, 0.6, 4, {"p": 0.8})
+    combined = combine_distances(aligned, {"p": ("p",)})
+    ranges = threshold_range(combined, 100)
+    found = {}
+    clusters = leader_clusters(combined, ranges).cache()
+    for r in clusters.collect():
+        found.setdefault(r["step"], {})[r["id"]] = r["leader"]
+    m = combined_dense(ids, dense, ("p",))
+    expected = {i: brute.leaders(ids, m, t) for i, t in enumerate(ranges["p"])}
+    assert len(found) == 100 and found == expected
+    scores = {r["step"]: r["silhouette"] for r in silhouette(combined, clusters).collect()}
+    assert scores == pytest.approx({i: brute.silhouette(ids, m, v) for i, v in expected.items() if len(set(v.values())) > 1}, abs=1e-9)
+
+
 def test_one_cluster_only_keeps_the_defaults(spark):
     ids, aligned, _ = random_sources(spark, 5, 0.0, 5, {"p": 0.5})
     combined = combine_distances(aligned, {"p": ("p",)})
@@ -131,22 +146,23 @@ def test_combination_checks_and_stats(spark):
     assert (stats["min_distance"], stats["mean_distance"], stats["max_distance"]) == pytest.approx((min(upper), np.mean(upper), max(upper)))
 
 
-@pytest.mark.parametrize("width", [4000, 5])
-def test_distance_plane_marks_one_medoid_per_cluster(spark, monkeypatch, width):
-    monkeypatch.setattr("simlattice.operators.embed.WIDTH_LIMIT", width)
-    ids, aligned, dense = random_sources(spark, 12, 0.7, 9, {"p": 1.0})
-    # Two directions that stand out, so that the iteration needs few rounds.
-    far = F.when((F.col("id1") < 106) == (F.col("id2") < 106), F.col("distance") / 20).otherwise(F.col("distance") / 20 + 3)
-    aligned = aligned._replace(pairs=aligned.pairs.withColumn("distance", far))
-    for r in aligned.pairs.collect():
-        dense["p"][r["id1"], r["id2"]] = dense["p"][r["id2"], r["id1"]] = r["distance"]
-    combined = combine_distances(aligned, {"p": ("p",)}, digits=None)
-    labels = spark.createDataFrame([("p", i, ids[k % 3]) for k, i in enumerate(ids)], "combo string, id long, leader long")
-    rows = distance_plane(combined, "p", labels).collect()
-    assert len(rows) == 12 and sum(r["is_medoid"] for r in rows) == 3
-    m = np.array([[0.0 if a == b else dense["p"][a, b] for b in ids] for a in ids])
-    centered = m - m.mean(axis=0)
-    _, _, axes = np.linalg.svd(centered)
-    expected = m @ axes[0]
-    got = np.array([next(r["x"] for r in rows if r["id"] == i) for i in ids])
-    assert min(np.abs(got - expected).max(), np.abs(got + expected).max()) < (1e-6 if width > 12 else 1e-3)
+@pytest.mark.parametrize("n,widest", [(3, 96), (12, 96), (40, 24)])
+def test_distance_planes_equal_the_singular_vectors(spark, monkeypatch, n, widest):
+    monkeypatch.setattr("simlattice.operators.embed.WIDEST", widest)
+    monkeypatch.setattr("simlattice.operators.embed.KEPT", 12)
+    ids, aligned, dense = random_sources(spark, n, 0.7, 9, {"p": 1.0, "q": 0.6})
+    combos = {"p": ("p",), "q": ("q",)}
+    combined = combine_distances(aligned, combos, digits=None)
+    labels = spark.createDataFrame([(c, i, ids[k % 3]) for c in combos for k, i in enumerate(ids)], "combo string, id long, leader long")
+    rows = distance_planes(combined, labels).collect()
+    assert len(rows) == 2 * n and sum(r["is_medoid"] for r in rows) == 6
+    for c in combos:
+        m = np.array([[0.0 if a == b else dense[c][a, b] for b in ids] for a in ids])
+        _, sizes, axes = np.linalg.svd(m - m.mean(axis=0))
+        got = {r["id"]: (r["x"], r["y"]) for r in rows if r["combo"] == c}
+        gaps = -np.diff(sizes) / sizes[0]
+        for k in range(2):
+            if gaps[: k + 1].min() < 1e-6:  # axes of equal size may be turned
+                continue
+            x, y = np.array([got[i][k] for i in ids]), m @ axes[k]
+            assert min(np.abs(x - y).max(), np.abs(x + y).max()) < 1e-6
