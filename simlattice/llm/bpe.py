@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from simlattice.llm.words import buffers, chunks, span_hashes
 
-WINDOW = 12_000_000
+WINDOW = 4_000_000
 _SPECIAL = np.uint64(1)
 
 # The white space of Unicode, and the endings that a word-initial apostrophe takes along.

@@ -39,7 +39,7 @@ from simlattice.llm.words import buffers, chunks, lower_ascii, mix, shingle_hash
 from simlattice.runtime import cut, numbered
 
 BLOCK = 4096
-FRONTIER = 500_000
+FRONTIER = 200_000
 SALT = 2048
 BITS = 4
 BROADCAST = 300_000  # rows of four numbers, about 15 MB; longer lists are joined by shuffle
@@ -73,8 +73,8 @@ def describe(docs: DataFrame, key: str, text: str, percent: int, size: int) -> D
 
     def run(batches):
         for batch in batches:
-            out = [], [], [], [], []
-            for _, hashes, counts in shingle_sets(batch.column(1), size):
+            for first, hashes, counts in shingle_sets(batch.column(1), size):
+                out = [], [], [], [], []
                 ends = np.cumsum(counts)
                 for a, b in zip((ends - counts).tolist(), ends.tolist()):
                     own, n = hashes[a:b], b - a
@@ -83,9 +83,9 @@ def describe(docs: DataFrame, key: str, text: str, percent: int, size: int) -> D
                     out[2].append(int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                     out[3].append(own[: n - -(-percent * n // 100) + 1].astype(np.int64) if n else None)
                     out[4].append(bitmap(own) if n else None)
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], ["id", "n", "fp1", "fp2", "prefix", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), *map(pa.array, out, kinds)], ["id", "n", "fp1", "fp2", "prefix", "sig"])
 
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"id {kind}, n long, fp1 long, fp2 long, prefix array<long>, sig binary")
 
@@ -187,7 +187,7 @@ def dual_traversal(bits, sizes, comps, narrow, sides, percent):
         x, y = x[keep], y[keep]
         needed = overlap_needed(low[x], low[y], percent) - np.minimum(spare[x], spare[y])
         keep = np.zeros(len(x), bool)
-        step = max(1, 2_000_000 // b.shape[1])
+        step = max(1, 500_000 // b.shape[1])
         for i in range(0, len(x), step):
             common = np.bitwise_count(b[x[i : i + step]] & b[y[i : i + step]]).sum(axis=1, dtype=np.int64)
             keep[i : i + step] = common >= needed[i : i + step]
