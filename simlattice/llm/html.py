@@ -1,12 +1,14 @@
 """Operator 8: main text of web pages by consensus of the host.
 
-Every page scores its containers: a block of text counts for the element that
-holds it and by half for the one above, less the share of its letters that are
-links. The containers are named by their path of tags with generalised classes
-(digits become ``#``). In Spark the pages of a host vote for paths with their
-scores, each page with one vote in all, and the path with most votes wins.
-Then every page is extracted again from the winning path of its host; a page
-without it is extracted from its own best container.
+The containers are named by their path of tags with generalised classes
+(digits become ``#``). A page's own container is the innermost path that holds
+all its article text: the first headline, other headings and blocks of 25
+letters on count wherever they stand; shorter text counts below the outermost
+container inside ``body``, so that stray words of the frame do not widen it.
+Blocks that are mostly links do not count. In Spark every page of a host votes
+for its own container and the path with most votes wins. Then every page is
+extracted again from the winning path of its host, if all its article text
+lies below; otherwise from its own container.
 
 Within a container the elements that hold no article text are left out, by
 their tag or by a word of their class, id or role (fixed lists below).
@@ -51,6 +53,8 @@ BLOCKS = frozenset(
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article body div main section td blockquote center html".split())
+FRAME = frozenset(("", "html", "body"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements, and words of classes, ids and roles, that hold no article text.
 LEFT_OUT = frozenset("nav header footer aside form button select dialog menu".split())
 LEFT_OUT_WORDS = frozenset(
@@ -62,7 +66,7 @@ IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "td": ("td", ("tr", "table")), "t
 
 
 def blocks(page: str):
-    """Text blocks in page order: text, letters in links, path and left-out flag of the containers around, innermost first."""
+    """Text blocks in page order: text, letters in links, path and left-out flag of the containers around, and the tag of the block."""
     stack = [("", "", False)]  # tag, path of its container, left out
     text: list[str] = []
     linked, in_link = 0, 0
@@ -74,7 +78,7 @@ def blocks(page: str):
             text.clear()
             found, linked = linked, 0
             if joined:
-                return joined, found, stack[-1][1], stack[-1][2]
+                return joined, found, stack[-1][1], stack[-1][2], stack[-1][0]
         linked = 0
         return None
 
@@ -120,7 +124,7 @@ def blocks(page: str):
             _, path, out = stack[-1]
             marks = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)} if attributes and "=" in attributes else {}
             if tag in CONTAINERS or tag in LEFT_OUT:
-                classes = ".".join(sorted(re.sub(r"\d+", "#", c) for c in marks.get("class", "").split()))
+                classes = ".".join(sorted(re.sub(r"\d+", "#", c).replace(">", "") for c in marks.get("class", "").split()))
                 path = f"{path}>{tag}.{classes}" if classes else f"{path}>{tag}"
             if not out:
                 words = re.findall(r"[a-z]+", " ".join(marks.values()).lower()) if marks else ()
@@ -131,46 +135,62 @@ def blocks(page: str):
         yield block
 
 
-def container_scores(page: str) -> dict[str, float]:
-    """Score of every container path of a page."""
-    scores: dict[str, float] = {}
-    for text, linked, path, out in blocks(page):
-        if out:
-            continue
-        value = max(0.0, len(text) - 2.0 * linked) * (1.0 if len(text) >= 25 else 0.3)
-        scores[path] = scores.get(path, 0.0) + value
-        above = path.rpartition(">")[0]
-        if above:
-            scores[above] = scores.get(above, 0.0) + value / 2
-    return {p: s for p, s in scores.items() if s > 0}
+def common(paths) -> str:
+    """The innermost path around all of ``paths``."""
+    parts = [p.split(">") for p in paths]
+    low, high = min(parts), max(parts)
+    same = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return ">".join(low[:same])
 
 
-def extract(page: str, path: str | None) -> str:
-    """Text below the container path, or below the page's own best container if it has none there."""
-    found = [(text, at) for text, _, at, out in blocks(page) if not out]
+def below(path: str, where: str) -> bool:
+    return path == where or path.startswith(where + ">")
+
+
+def container(found: list[tuple]) -> str | None:
+    """Innermost path that holds all article text of a page's blocks that are not left out; None if they hold none."""
+    full, some = set(), set()
+    for text, linked, path, _, tag in found:
+        own = len(text) > 2 * linked
+        if own or tag == "h1":
+            some.add(path)
+            if len(text) >= 25 or tag in HEADINGS:
+                full.add(path)
+    if not some:
+        return None
+    at = common(full or some)
+    steps = at.split(">")
+    inner = next((i for i, step in enumerate(steps) if step.partition(".")[0] not in FRAME), None)
+    if inner is None:
+        return at
+    top = ">".join(steps[: inner + 1])
+    return common({p for p in some if below(p, top)})
+
 
-    def below(where: str) -> list[str]:
-        return [text for text, at in found if at == where or at.startswith(where + ">")]
+def kept_blocks(page: str) -> list[tuple]:
+    return [block for block in blocks(page) if not block[3]]
 
-    kept = below(path) if path else []
-    if not kept and found:
-        scores = container_scores(page)
-        kept = below(max(scores, key=lambda p: (scores[p], p))) if scores else [text for text, _ in found]
-    return "\n".join(kept)
+
+def extract(page: str, path: str | None) -> str:
+    """Text below the container path if it holds all article text of the page, or else below the page's own container."""
+    found = kept_blocks(page)
+    own = container(found)
+    if path and (own is None or below(own, path)):
+        kept = [text for text, _, at, *_ in found if below(at, path)]
+    else:
+        kept = [text for text, _, at, *_ in found if below(at, own or "")]
+    return "\n".join(kept or [text for text, *_ in found])
 
 
 def votes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``host, path, votes``: votes of all pages, one in all from each; a page without text votes for the empty path with 0."""
+    """``host, path, votes``: votes of all pages, one from each for its own container; a page without article text votes for the empty path with 0."""
 
     def run(batches):
         for batch in batches:
             total: dict[tuple[str, str], float] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scores = container_scores(page or "")
-                whole = sum(scores.values())
-                total[host, ""] = total.get((host, ""), 0.0)
-                for path, score in scores.items():
-                    total[host, path] = total.get((host, path), 0.0) + score / whole
+                path = container(kept_blocks(page or ""))
+                total[host, path or ""] = total.get((host, path or ""), 0.0) + (path is not None)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(list(total.values()), pa.float64())], ["host", "path", "votes"])
 
     cast = pages.select("host", html).mapInArrow(run, "host string, path string, votes double")
@@ -181,8 +201,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """``key, url, text, n_chars`` of every page."""
     rows = located(pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))).drop("path")
     ballot = votes(rows)
-    # Votes are compared in millionths, so that no order of addition decides a tie; the shorter path wins one.
-    winner = cut(ballot.groupBy("host").agg(F.max(F.struct(F.round("votes", 6).alias("v"), (-F.length("path")).alias("l"), "path")).alias("best")).select("host", F.col("best.path").alias("path")))
+    # The shorter path wins a tie.
+    winner = cut(ballot.groupBy("host").agg(F.max(F.struct(F.col("votes").alias("v"), (-F.length("path")).alias("l"), "path")).alias("best")).select("host", F.col("best.path").alias("path")))
     sizes = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
     total = sizes.agg(F.sum("pages")).first()[0] or 0
     hot = cut(sizes.filter(F.col("pages") * HOT_PART > total).select("host"))

@@ -232,6 +232,33 @@ def test_html_extraction(spark):
     assert got[10].text == got[11].text == "" and got[12].text == "Only text <here>" and len(got) == len(rows)
 
 
+def test_html_keeps_text_around_nested_containers(spark):
+    def p(name, n):
+        return f"<p>{(name + ' ') * n}</p>".replace(" </p>", "</p>")
+
+    nested = f"<html><body><nav>Menu</nav><article><h1>Head</h1><p>Intro.</p>{p('lead', 20)}<section>{p('one', 75)}</section><section>{p('two', 75)}</section></article></body></html>"
+    quoted = f"<html><body><article><h1><a href=x>Head</a></h1><div><div>{p('lead', 9)}<blockquote>{p('quote', 90)}</blockquote><p>Fin.</p></div></div></article></body></html>"
+    direct = f"<html><body><article>{p('long', 200)}<section><p>Short end of the text, in a section.</p></section></article></body></html>"
+    inside = f"<html><body><article><section>{p('all', 90)}</section></article></body></html>"
+    cell = f"<html><body><div>Skip</div><table><tr><td>{p('cell', 50)}</td><td><div>{p('more', 300)}</div></td></tr></table></body></html>"
+    frame = f"<html><body><h1>Head</h1><article><section>{p('all', 90)}</section></article></body></html>"
+    words = lambda name, n: " ".join([name] * n)
+    expected = {
+        nested: ["Head", "Intro.", words("lead", 20), words("one", 75), words("two", 75)],
+        quoted: ["Head", words("lead", 9), words("quote", 90), "Fin."],
+        direct: [words("long", 200), "Short end of the text, in a section."],
+        inside: [words("all", 90)],
+        cell: [words("cell", 50), words("more", 300)],
+        frame: ["Head", words("all", 90)],
+    }
+    hosts_of = {"one": [nested] * 3, "mix": [inside] * 5 + [nested, quoted, direct, frame, cell], "alone": [quoted], "sections": [nested] * 4 + [direct], "cells": [cell] * 2 + [frame]}
+    rows = [(i, f"http://{h}.org/{i}", page) for h, pages in hosts_of.items() for i, page in enumerate(pages, 100 * len(h) + ord(h[0]) * 1000)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        found = got[i].split("\n")
+        assert [line for line in found if line != "Skip"] == expected[page]
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
