@@ -9,7 +9,7 @@ neither has learned from. In the end both are calibrated and combined by a
 logistic rule on that same part, and all documents are scored.
 
 Fitting takes a bounded sample: ``SAMPLE`` labelled and ``POOL`` unlabelled
-rows at most, by a hash of their id, and their features fit in the driver
+rows of the documents at most, by a hash of their id, and their features fit in the driver
 (15 000 rows of 60 numbers). Scoring is one pass over all documents.
 
 Defined cases: a null or empty text has features 0; null metadata is a value
@@ -21,6 +21,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,9 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The fitted views, or None without labels of both kinds."""
     order = F.md5(F.concat(F.lit("co:"), F.col(key).cast("string")))
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(F.col(label).cast("int")).alias("y"))
-    chosen = cut(marked.orderBy(order, key).limit(SAMPLE))
-    # The pool: rows of lowest hash without a label in the sample, taken as ids first so that no text is sorted.
-    pool = docs.select(key).filter(F.col(key).isNotNull()).join(marked, key, "left_anti").distinct().orderBy(order, key).limit(POOL)
+    # Ids alone are joined and sorted, never text. Only labels of ``docs`` are drawn; the pool: rows of lowest hash without a label.
+    ids = docs.select(key).filter(F.col(key).isNotNull()).distinct()
+    chosen = cut(marked.join(ids, key, "left_semi").orderBy(order, key).limit(SAMPLE))
+    pool = ids.join(marked, key, "left_anti").orderBy(order, key).limit(POOL)
     wanted = cut(chosen.unionByName(pool.withColumn("y", F.lit(None).cast("int"))))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(length).alias("length"))
     rows = rows.join(F.broadcast(wanted.withColumnRenamed(key, "id")), "id")
@@ -145,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = table.y.notna().to_numpy()
     y = table.y[known].to_numpy(float)
     if len(np.unique(y)) < 2:
+        warnings.warn(f"{len(y)} labelled rows of the documents, not of both kinds: no classifier, every document is kept", stacklevel=2)
         return None
     views = [np.array(table[c].tolist()) for c in ("one", "two")]
     return co_train([v[known] for v in views], y, [v[~known] for v in views])

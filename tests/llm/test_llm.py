@@ -279,6 +279,19 @@ def test_cotraining(spark):
     assert sum(got[r.doc_id].kept == bool(r.quality) for r in truth) >= 0.95 * len(truth)
 
 
+def test_cotraining_samples_labels_of_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(cotrain, "SAMPLE", 40)
+    drawn = []
+    monkeypatch.setattr(cotrain, "co_train", lambda views, y, pools: drawn.append((len(y), set(y), len(pools[0]))))
+    docs = spark.createDataFrame(rows_of([f"{w} {i}" for i, w in enumerate(WORDS * 5)]), DOCS).filter("doc_id < 50")
+    docs = docs.unionByName(docs.filter("doc_id < 3"))
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(45), *range(100, 5100)]], "doc_id long, quality int")
+    cotrain.fit(docs, labels)
+    assert drawn == [(40, {0.0, 1.0}, 5)]
+    with pytest.warns(UserWarning, match="every document is kept"):
+        assert cotrain.fit(docs, labels.filter("doc_id >= 100 or quality = 1")) is None
+
+
 def test_models_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(15)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
