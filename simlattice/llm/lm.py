@@ -20,9 +20,8 @@ counts of all blocks and sends back those asked for; then the block walks its
 part of the automaton. Each n-gram crosses the network once per block that
 has it, so frequent words cost no more than rare ones.
 
-A word and its count are known by 64 bits; n-grams of two words or more by 40
-bits within a bucket of some million, so about one in a million of them is
-counted together with another one.
+Words and n-grams are known by 64 bits: two different ones among 10**9 are
+counted together with a probability of about 3 %.
 
 Defined cases: a null text is empty and has the end as its only token; null
 ids are training rows; repeated rows count and score each; without training
@@ -43,7 +42,6 @@ from simlattice.runtime import cut
 BLOCK_BYTES = 8_000_000
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _FACTORS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-_LOW = np.uint64((1 << 40) - 1)
 
 
 def sequences(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,18 +98,6 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def pack_keys(keys: np.ndarray, order: int) -> bytes:
-    return keys.tobytes() if order == 1 else np.ascontiguousarray((keys & _LOW).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpack_keys(data: bytes, order: int) -> np.ndarray:
-    if order == 1:
-        return np.frombuffer(data, np.uint64)
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
-
-
 def _ask(order: int, buckets: int):
     """Per block: its distinct n-grams of each order and bucket, with their counts in training texts."""
 
@@ -127,7 +113,7 @@ def _ask(order: int, buckets: int):
             spans = [(bounds[i], bounds[i + 1]) for i in full]
             yield pa.RecordBatch.from_arrays([
                 pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block, np.int32)), pa.array(np.full(len(full), k, np.int32)),
-                pa.array([pack_keys(found[a:b], k) for a, b in spans], pa.binary()), pa.array([pack(counts[a:b]) for a, b in spans], pa.binary()),
+                pa.array([found[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([pack(counts[a:b]) for a, b in spans], pa.binary()),
             ], ["bucket", "block", "gram", "keys", "counts"])
 
     return _by_key("block", solve)
@@ -141,7 +127,7 @@ def _answer():
 
         def solve():
             gram = key[1]
-            parts = [unpack_keys(k, gram) for _, k, _ in held]
+            parts = [np.frombuffer(k, np.uint64) for _, k, _ in held]
             found, which = np.unique(np.concatenate(parts), return_inverse=True)
             total = np.bincount(which, np.concatenate([unpack(c) for _, _, c in held]), len(found)).astype(np.int64)
             ends = np.cumsum([len(p) for p in parts])

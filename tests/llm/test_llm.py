@@ -175,6 +175,17 @@ def test_lm_equals_counting(spark, odd):
     assert sorted((r.doc_id, r.n_tokens, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(expected)
 
 
+def test_lm_counts_ngrams_by_all_bits(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    scores = lambda: {r.doc_id: round(r.score, 9) for r in lm.lm_scores(docs, F.col("doc_id") % 3 == 0, order=2).collect()}
+    expected = scores()
+    turned = lm.mix
+    monkeypatch.setattr(lm, "mix", lambda x: (turned(x) << np.uint64(32)) | (turned(x) >> np.uint64(32)))
+    assert scores() == expected
+    monkeypatch.setattr(lm, "mix", lambda x: turned(x) << np.uint64(24))
+    assert scores() == expected
+
+
 def test_bpe_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
 
