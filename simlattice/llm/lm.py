@@ -14,7 +14,8 @@ The probabilities after every history sum to 1. One pass from left to right
 carries the state and adds the weights.
 
 The counts grow with the corpus, so no task holds the automaton. Documents
-are dealt into blocks of bounded size by a hash of their id. A block asks for
+are dealt into blocks of bounded size by a hash of their id and length, and
+rows that repeat one id and length too often by chance. A block asks for
 its distinct n-grams, grouped in buckets by their hash; a bucket adds up the
 counts of all blocks and sends back those asked for; then the block walks its
 part of the automaton. Each n-gram crosses the network once per block that
@@ -217,13 +218,29 @@ def _by_key(name: str, solve):
     return run
 
 
+def blocked(rows: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
+    """``rows`` with their ``block``, the same whenever it is read.
+
+    Rows of one id and length share a hash. Where they hold over a quarter of a
+    block, they are written once with a random block each.
+    """
+    rows = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.length("text")))
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    hot = cut(sizes.filter((F.col("n") > 1) & (F.col("bytes") > block_bytes // 4)).select("h"))  # four a block at most
+    by_hash = F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")
+    if hot.isEmpty():
+        return rows.withColumn("block", by_hash).drop("h")
+    spread = cut(rows.join(F.broadcast(hot), "h", "left_semi").withColumn("block", F.floor(F.rand() * blocks).cast("int")).drop("h"))
+    return rows.join(F.broadcast(hot), "h", "left_anti").withColumn("block", by_hash).drop("h").unionByName(spread)
+
+
 def lm_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = 2, mu: float = 100.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; rows not ``held_out`` train."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = size // block_bytes + 1
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), F.length("text")), F.lit(blocks)).cast("int"))
+    rows = blocked(rows, blocks, block_bytes)
     asked = rows.select("block", "held_out", "text").repartition("block").sortWithinPartitions("block")
     asked = asked.mapInArrow(_ask(order, blocks), "bucket int, block int, gram int, keys binary, counts binary")
     asked = asked.repartition("bucket", "gram").sortWithinPartitions("bucket", "gram")

@@ -186,6 +186,19 @@ def test_lm_counts_ngrams_by_all_bits(spark, monkeypatch):
     assert scores() == expected
 
 
+def test_lm_blocks_stay_bounded_on_repeated_rows(spark):
+    rows = [(None, "alpha beta " * 50)] * 300 + [(7, f"gamma {i % 10} " * 50) for i in range(300)] + [(i, f"delta {i} " * 50) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    held = docs.select(F.col("doc_id").alias("id"), "text")
+    placed = lm.blocked(held, size // 20_000 + 1, 20_000)
+    once, again = (collections.Counter((r.block, r.id, r.text) for r in placed.collect()) for _ in range(2))
+    assert once == again and sum(once.values()) == len(rows)
+    assert max(collections.Counter({b: sum(n * len(t) for (c, _, t), n in once.items() if c == b) for b, _, _ in once}).values()) < 3 * 20_000
+    out = [[(r.doc_id or -1, r.n_tokens, r.train_tokens, round(r.score, 6)) for r in lm.lm_scores(docs, F.col("doc_id") % 3 == 0, block_bytes=b).collect()] for b in (20_000, 10**9)]
+    assert sorted(out[0]) == sorted(out[1]) and len(out[0]) == len(rows)
+
+
 def test_bpe_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
 
