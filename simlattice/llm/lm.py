@@ -11,14 +11,17 @@ without its first word, down to the root that knows words alone:
              d = ones / (ones + 2 * twos) held between 0.1 and 0.9
 
 The probabilities after every history sum to 1. One pass from left to right
-carries the state and adds the weights.
+carries the state and adds the weights. The texts of a block are read side by
+side, one word of each at a time. A text of over ``SEGMENT`` words is cut into
+pieces; a piece first reads the ``order - 1`` words before it, unweighted,
+which leads from the root to the state that the piece before it ends in.
 
 The counts grow with the corpus, so no task holds the automaton. Documents
 are dealt into blocks of bounded size by a hash of their id and length, and
 rows that repeat one id and length too often by chance. A block asks for
 its distinct n-grams, grouped in buckets by their hash; a bucket adds up the
-counts of all blocks and sends back those asked for; then the block walks its
-part of the automaton. Each n-gram crosses the network once per block that
+counts of all blocks and sends back those asked for; then the block builds
+the states, arcs and failure weights that its texts can meet, and walks them. Each n-gram crosses the network once per block that
 has it, so frequent words cost no more than rare ones.
 
 Words and n-grams are known by 64 bits: two different ones among 10**9 are
@@ -41,6 +44,7 @@ from simlattice.llm.words import buffers, chunks, lower_ascii, mix, span_hashes,
 from simlattice.runtime import cut
 
 BLOCK_BYTES = 8_000_000
+SEGMENT = 1024
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _FACTORS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -155,6 +159,84 @@ def _answer():
     return run
 
 
+class Automaton:
+    """Root and states by number, arcs in order of state and word.
+
+    ``at[k - 1]``: the index of the ``k``-gram that ends at every token, -1 if there is none; ``seen[k - 1]``: training counts by index.
+    """
+
+    def __init__(self, at: list[np.ndarray], seen: list[np.ndarray], mu: float, d: float, n: int, v: int):
+        order = len(seen)
+        self.words = len(seen[0])
+        self.fail, self.back = [np.zeros(1, np.int64)], [np.array([np.log10(d * v / n) if n else 0.0])]
+        keys, weights, targets, states = [], [], [], 1
+        shorter_p, shorter_state = None, None
+        for k in range(1, order + 1):
+            count = seen[k - 1]
+            last = np.zeros(len(count), np.int64)  # a token where each n-gram ends
+            ends = np.flatnonzero(at[k - 1] >= 0)
+            last[at[k - 1][ends]] = ends
+            own = np.flatnonzero(count > 0)
+            last = last[own]
+            p = np.zeros(len(count))
+            if k == 1:
+                p[own] = (count[own] - d) / max(n, 1)
+                source = suffix_state = np.zeros(len(own), np.int64)
+            else:
+                suffix, history = at[k - 2][last], at[k - 2][last - 1]
+                p[own] = (count[own] + mu * shorter_p[suffix]) / (seen[k - 2][history] + mu)
+                source, suffix_state = shorter_state[history], shorter_state[suffix]
+            state = np.zeros(len(count), np.int64)
+            if k < order:
+                state[own] = states + np.arange(len(own))
+                states += len(own)
+                self.fail.append(suffix_state)
+                self.back.append(np.log10(mu / (count[own] + mu)))
+            keys.append(source * self.words + at[0][last])
+            weights.append(np.log10(p[own]))
+            targets.append(state[own] if k < order else suffix_state)
+            shorter_p, shorter_state = p, state
+        self.fail, self.back = np.concatenate(self.fail), np.concatenate(self.back)
+        keys = np.concatenate(keys)
+        sort = np.argsort(keys, kind="stable")
+        self.keys, self.weights, self.targets = keys[sort], np.concatenate(weights)[sort], np.concatenate(targets)[sort]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one word of each text, and the weights on the way."""
+        state, weight, todo = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        while len(todo):
+            want = state[todo] * self.words + word[todo]
+            arc = np.searchsorted(self.keys, want)
+            hit = np.zeros(len(todo), bool)
+            inside = arc < len(self.keys)
+            hit[inside] = self.keys[arc[inside]] == want[inside]
+            weight[todo[hit]] += self.weights[arc[hit]]
+            state[todo[hit]] = self.targets[arc[hit]]
+            failed = todo[~hit]
+            weight[failed] += self.back[state[failed]]
+            todo = failed[state[failed] > 0]  # the root itself takes an unknown word
+            state[failed] = self.fail[state[failed]]
+        return state, weight
+
+    def walk(self, word: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+        """Weight of every text, the start unweighted."""
+        starts = np.flatnonzero(place == 0)
+        stops = np.append(starts[1:], len(place))
+        pieces = -(-(stops - starts) // SEGMENT)
+        row = np.repeat(np.arange(len(starts)), pieces)
+        first = starts[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        begin, counted, stop = np.maximum(starts[row], first - order + 1), np.maximum(first, starts[row] + 1), np.minimum(first + SEGMENT, stops[row])
+        longest = np.argsort(begin - stop, kind="stable")
+        row, begin, counted, stop = row[longest], begin[longest], counted[longest], stop[longest]
+        state, score = np.zeros(len(row), np.int64), np.zeros(len(row))
+        for t in range(int((stop - begin).max(initial=0))):
+            live = np.searchsorted(begin - stop, -t)
+            now = begin[:live] + t
+            state[:live], weight = self.step(state[:live], word[now])
+            score[:live] += np.where(now >= counted[:live], weight, 0.0)
+        return np.bincount(row, score, len(starts))
+
+
 def _walk(order: int, buckets: int, total: dict, mu: float):
     """Per block: the answers, then the texts, scored from left to right."""
     n, v = total["tokens"] or 0, total["types"] or 0
@@ -169,30 +251,25 @@ def _walk(order: int, buckets: int, total: dict, mu: float):
         if not docs.num_rows:
             return
         tokens, place = sequences(docs.column("text").chunks)
-        counts = []
+        ends, seen = [], []
         for k in range(1, order + 1):
             keys, at = grams(tokens, place, k)
             found, bounds, which = distinct(keys, buckets)
-            seen = np.zeros(len(found), np.int64)
+            seen.append(np.zeros(len(found), np.int64))
             for i in np.flatnonzero(np.diff(bounds)):
-                seen[bounds[i] : bounds[i + 1]] = unpack(answers[k, int(i)])
-            counts.append(np.zeros(len(tokens), np.int64))
-            counts[-1][at] = seen[which]
+                seen[-1][bounds[i] : bounds[i + 1]] = unpack(answers[k, int(i)])
+            ends.append(np.full(len(tokens), -1, np.int32))
+            ends[-1][at] = which
+        score = Automaton(ends, seen, mu, d, n, v).walk(ends[0], place, order)
         events = np.flatnonzero(place > 0)
-        known = counts[0][events]
-        p = np.where(known > 0, (known - d) / max(n, 1), d * v / n if n else 1.0)
-        for k in range(2, order + 1):  # from the root up: what holds in the longest state that exists is kept
-            own = place[events] >= k - 1
-            history = np.where(own, counts[k - 2][events - 1], 0)
-            arc = np.where(own, counts[k - 1][events], 0)
-            p = np.where(history > 0, (arc + mu * p) / (history + mu), p)
+        known = seen[0][ends[0][events]]
         row = (np.cumsum(place == 0) - 1)[events]
         m = docs.num_rows
         base = np.log10((known + 1) / (n + v + 1))
         size = np.bincount(row, minlength=m)
         yield pa.RecordBatch.from_arrays([
             docs.column("id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(size), pa.array(np.bincount(row[known > 0], minlength=m)),
-            pa.array(np.full(m, n, np.int64)), pa.array(np.bincount(row, base, m)), pa.array(np.bincount(row, np.log10(p), m)),
+            pa.array(np.full(m, n, np.int64)), pa.array(np.bincount(row, base, m)), pa.array(score),
         ], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return _by_key("block", solve)

@@ -199,6 +199,30 @@ def test_lm_blocks_stay_bounded_on_repeated_rows(spark):
     assert sorted(out[0]) == sorted(out[1]) and len(out[0]) == len(rows)
 
 
+@pytest.mark.parametrize("segment", [1, 3, 1024])
+def test_lm_automaton_states_and_arcs(monkeypatch, segment):
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+    texts = ["0abab1", "0abc1", "0x1", "0abaxabcab1"]  # the last two are not learned from
+    word = np.array([int(c, 36) for t in texts for c in t])
+    place = np.concatenate([np.arange(len(t)) for t in texts])
+    names = [sorted({t[j : j + k] for t in texts for j in range(len(t) - k + 1)}) for k in (1, 2, 3)]
+    ends = [np.array([names[k - 1].index(t[j - k + 1 : j + 1]) if j >= k - 1 else -1 for t in texts for j in range(len(t))]) for k in (1, 2, 3)]
+    seen = [np.array([sum(t[j:].startswith(g) for t in texts[:2] for j in range(len(t))) for g in held]) for held in names]
+    n, v, mu, d = 9, 4, 2.0, 0.5
+    machine = lm.Automaton(ends, seen, mu, d, n, v)
+    assert len(machine.fail) == 1 + sum((c > 0).sum() for c in seen[:2]) and len(machine.keys) == sum((c > 0).sum() for c in seen)
+    count = {g: int(c) for held, counts in zip(names, seen) for g, c in zip(held, counts)}
+
+    def p(history, w):
+        if not history:
+            return (count[w] - d) / n if count[w] else d * v / n
+        below = p(history[1:], w)
+        return (count.get(history + w, 0) + mu * below) / (count[history] + mu) if count.get(history) else below
+
+    expected = [sum(math.log10(p(t[max(0, j - 2) : j], t[j])) for j in range(1, len(t))) for t in texts]
+    assert machine.walk(ends[0], place, 3) == pytest.approx(expected)
+
+
 def test_bpe_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
 
