@@ -15,7 +15,9 @@ precision.
 
 Equal vectors are one candidate that stands for its smallest ids, so a vector
 with very many copies is one row. Lists are cut into parts of ``PART`` rows,
-and a query visits all parts. Centroids and rotation are broadcast; their
+and a query visits all parts. Queries are dealt into chunks of about
+``QUERIES`` by a hash of their id, and every part is copied to each chunk, so
+a task holds one part and one chunk. Centroids and rotation are broadcast; their
 number is bounded by ``LISTS``.
 
 Defined cases: vectors that are null, zero, of another length than most, or
@@ -36,6 +38,7 @@ from simlattice.runtime import cut
 SAMPLE = 8192
 LISTS = 1024
 PART = 4096
+QUERIES = 16384
 BLOCK = 16
 EPS = 2.1
 SEED = 7
@@ -134,7 +137,8 @@ def nearest(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str =
 
     def visits(batches):
         """A row for each part of each list that a query scans: the nearest lists, and on until they hold enough rows."""
-        for batch in batches:
+        step = max(1, 65_536 // int(parts.sum()))  # a query gives a row for every part at most
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, len(whole), step)):
             order = np.argsort(-(unit(matrix(batch.column("v"), dim)) @ centroids.T), axis=1, kind="stable")
             found = np.cumsum(counts[order], axis=1)
             use = np.maximum(least, (found < 20 * k).sum(axis=1) + 1)
@@ -151,9 +155,11 @@ def nearest(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str =
                 pa.array(np.concatenate(where).astype(np.int32) if where else [], pa.int32()), pa.array(np.concatenate(part).astype(np.int32) if part else [], pa.int32()),
             ], ["id", "v", "list", "part"])
 
-    asked = one.filter(F.expr("true") if queries is None else queries).select("id", "v").mapInArrow(visits, f"id {kind}, {vectors}, list int, part int")
+    asking = one.filter(F.expr("true") if queries is None else queries).select("id", "v")
+    chunks = -(-asking.count() // QUERIES)
+    asked = asking.mapInArrow(visits, f"id {kind}, {vectors}, list int, part int").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(max(1, chunks))).cast("int"))
     part_of = F.pmod(F.xxhash64("v"), F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("list") + 1)).cast("int")
-    stored = listed.select("ids", "v", "list", part_of.alias("part"))
+    stored = listed.select("ids", "v", "list", part_of.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(max(1, chunks) - 1))).alias("chunk"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [], [], []
@@ -167,15 +173,15 @@ def nearest(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str =
             for i, name in enumerate(right.column("id").to_pylist()):
                 at = scan(turned[i], rows_turned, k + 1)
                 score = original[at] @ asks[i] / (norms[at] * np.linalg.norm(asks[i]))
-                for j, s in zip(at.tolist(), score.tolist()):
-                    others = [x for x in names[j] if x != name][:k]
-                    out[0].extend([name] * len(others))
-                    out[1].extend(others)
-                    out[2].extend([s] * len(others))
+                others = [(-s, x) for j, s in zip(at.tolist(), score.tolist()) for x in [x for x in names[j] if x != name][:k]]
+                for s, x in sorted(others)[:k]:
+                    out[0].append(name)
+                    out[1].append(x)
+                    out[2].append(-s)
         kinds = right.schema.field("id").type
         return pa.Table.from_arrays([pa.array(out[0], kinds), pa.array(out[1], kinds), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
 
-    found = stored.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(search, f"query_id {kind}, id {kind}, score double")
+    found = stored.groupBy("list", "part", "chunk").cogroup(asked.groupBy("list", "part", "chunk")).applyInArrow(search, f"query_id {kind}, id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

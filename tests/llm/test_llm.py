@@ -266,6 +266,27 @@ def test_ann_recall_ties_and_invalid(spark):
     assert [i for i, _ in got[0]] == [9050, 9051, 9052, 9053, 9054]
 
 
+def test_ann_groups_hold_a_chunk_of_queries(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    rows = rows.unionByName(rows.filter("vec_id < 3").withColumn("vec_id", F.col("vec_id") + 10**6))
+    found = lambda: sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(rows, F.col("id") % 2 == 0).collect())
+    expected = found()
+    matrix = ann.matrix
+
+    def small(column, dim):
+        assert len(column) <= 30, "a group of too many rows"
+        return matrix(column, dim)
+
+    monkeypatch.setattr(ann, "QUERIES", 10, raising=False)
+    monkeypatch.setattr(ann, "PART", 10)
+    monkeypatch.setattr(ann, "matrix", small)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        assert found() == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>x";</script></head><body><header>Site head</header><nav><ul><li><a href=#>Menu</a></ul></nav>
 <div class="ad-7">Buy now</div><div id=main class="post-%d"><h1>Title &amp; more</h1><p>First   paragraph of a long article with words, <b>bold<br>and</b> <a href=x>link</a>.<p>Second paragraph that is long enough.
 <form>Name <input></form><aside>Aside</aside><div class="cookie notice">We use cookies</div></div><section class="comments"><p>A reader comment that is rather long to read.</p></section><footer>&copy; foot</footer>"""
