@@ -467,6 +467,7 @@ def topk_accuracy(spark, sf_dir):
 
 @query
 def topk_report(spark, sf_dir):
+    """Report over the labels 0 to 7; 8 and 9 are taken as unknown, as in the SQL, so that some rows show N/A."""
     known = _vector_labels(spark, sf_dir).filter("label < 8")
     return evaluate.topk_report(neighbors.nearest_vectors(_vectors(spark, sf_dir)), known).withColumnRenamed("acc@5", "acc_at_5")
 
