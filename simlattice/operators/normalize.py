@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from simlattice.functions.numeric import log_shifted
 from simlattice.functions.quantiles import exact_percentiles
 from simlattice.operators.align import Aligned
+from simlattice.operators.distribution import histogram
 from simlattice.operators.moments import Moments
 from simlattice.runtime import choose
 
@@ -129,3 +130,42 @@ def value_stats(aligned: Aligned, value: str = "similarity") -> DataFrame:
     return spark.createDataFrame(
         rows, "source string, min_value double, max_value double, mean_value double, std_value double, median_value double"
     )
+
+
+def stage_stats(
+    aligned: Aligned,
+    use_log: bool = False,
+    iqr_multiplier: float = 1.5,
+    mapping: Callable[[Column], Column] | None = None,
+    bins: int = 10,
+) -> DataFrame:
+    """``value_stats``, crop ratio and histogram of every source before and after each stage of ``normalize``.
+
+    Stages are ``before``, ``clip``, ``log`` (with ``use_log``), ``zscore`` and
+    ``minmax``; the crop ratio belongs to ``clip`` and is null elsewhere.
+    ``histogram`` is an array of ``(low, high, frequency)`` in order of bins.
+    """
+    spark = aligned.pairs.sparkSession
+    done, table = normalize(aligned, use_log, iqr_multiplier, mapping)
+    used = {r["source"]: r for r in table.collect()}
+    source, value = F.col("source"), F.col("similarity")
+    lo, hi, mean, std = (choose({s: r[c] for s, r in used.items()}, source) for c in ("lower", "upper", "mean", "std"))
+    clipped = F.least(F.greatest(value, lo), hi)
+    logged = log_shifted(clipped) if use_log else clipped
+    shaped = mapping(logged) if mapping is not None else logged
+    columns = {"before": value, "clip": clipped} | ({"log": logged} if use_log else {}) | {"zscore": (shaped - mean) / (std + EDGE)}
+    absent = spark.createDataFrame(list(aligned.background.items()), "source string, similarity double")
+    moved = {r["source"]: r for r in absent.select("source", *(x.alias(stage) for stage, x in columns.items())).collect()}
+    stages = {
+        stage: aligned._replace(pairs=aligned.pairs.select("source", "id1", "id2", x.alias("similarity")), background={s: r[stage] for s, r in moved.items()})
+        for stage, x in columns.items()
+    } | {"minmax": done}
+    crop = choose({s: r["crop_ratio"] for s, r in used.items()}, source)
+    found = None
+    for stage, at in stages.items():
+        bars = histogram(with_background(at, "similarity"), bins).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("bin", "low", "high", "frequency"))).alias("bars"))
+        bars = bars.select("source", F.transform("bars", lambda b: F.struct(b["low"].alias("low"), b["high"].alias("high"), b["frequency"].alias("frequency"))).alias("histogram"))
+        ratio = crop if stage == "clip" else F.lit(None).cast("double")
+        rows = value_stats(at).withColumn("stage", F.lit(stage)).withColumn("crop_ratio", ratio).join(bars, "source")
+        found = rows if found is None else found.unionByName(rows)
+    return found.select("source", "stage", "min_value", "max_value", "mean_value", "std_value", "median_value", "crop_ratio", "histogram")

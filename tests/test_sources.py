@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from simlattice.operators import compare, distribution
 from simlattice.operators.align import Aligned, align, align_report, align_to_anchor, sample_ids, shared_entities
 from simlattice.operators.matrix import Matrices, build_matrices, mirrored, symmetrize, upper_aligned
-from simlattice.operators.normalize import normalize, positive_range, to_distance, value_stats, with_background
+from simlattice.operators.normalize import normalize, positive_range, stage_stats, to_distance, value_stats, with_background
 
 
 def rows(spark, data):
@@ -88,6 +88,31 @@ def test_normalize_counts_absent_pairs(spark, stored_zero):
         assert got == pytest.approx((x.min(), x.max(), x.mean(), x.std(), np.median(x)))
 
 
+@pytest.mark.parametrize("use_log", [False, True])
+def test_statistics_of_every_stage(spark, use_log):
+    ids, dense, data = two_sources(spark, stored_zero=False)
+    got = {(r["source"], r["stage"]): r for r in stage_stats(align(data, ["p", "q", "r"]), use_log=use_log, iqr_multiplier=0.2).collect()}
+    for s in ("p", "q", "r"):
+        x = upper(dense, ids, s)
+        q1, q3 = np.percentile(x, [10, 90])
+        low, high = q1 - 0.2 * (q3 - q1), q3 + 0.2 * (q3 - q1)
+        stages = {"before": x, "clip": np.clip(x, low, high)}
+        if use_log:
+            stages["log"] = np.log(stages["clip"] + 1e-6)
+        y = stages["log" if use_log else "clip"]
+        stages["zscore"] = (y - y.mean()) / (y.std() + 1e-6)
+        stages["minmax"] = scaled(x, use_log=use_log, times=0.2)
+        assert {stage for source, stage in got if source == s} == set(stages)
+        for stage, x_at in stages.items():
+            r = got[s, stage]
+            assert (r["min_value"], r["max_value"], r["mean_value"], r["std_value"], r["median_value"]) == pytest.approx((x_at.min(), x_at.max(), x_at.mean(), x_at.std(), np.median(x_at)), abs=1e-9)
+            assert r["crop_ratio"] == (pytest.approx(np.mean((x < low) | (x > high))) if stage == "clip" else None)
+            at = np.minimum(np.floor(np.round((x_at - x_at.min()) / (x_at.max() - x_at.min()) * 10, 9)), 9).astype(int)
+            assert [b["frequency"] for b in r["histogram"]] == list(np.bincount(at, minlength=10))
+            edges = np.linspace(x_at.min(), x_at.max(), 11)
+            assert [b["low"] for b in r["histogram"]] == pytest.approx(list(edges[:-1]), abs=1e-9) and r["histogram"][-1]["high"] == pytest.approx(edges[-1])
+
+
 def test_positive_range_of_nothing_is_null(spark):
     aligned = Aligned(spark.createDataFrame([("s", "a", "b", 0.0)], "source string, id1 string, id2 string, distance double"), None, 2, ["s"], {"s": 0.0}, {"s": 1})
     assert tuple(positive_range(aligned).first()) == ("s", None, None, None)
