@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simlattice.functions import numeric, text
-from simlattice.operators import compare, distribution, evaluate, matrix, neighbors, overlap, similarity
+from simlattice.operators import compare, distribution, evaluate, kmeans, matrix, neighbors, overlap, similarity
 from simlattice.operators.align import align, align_report, align_to_anchor, restrict, sample_ids, shared_entities
 from simlattice.operators.combine import combine_distances, combo_stats, source_combinations, threshold_range, threshold_table
 from simlattice.operators.embed import distance_planes, kmeans_clusters
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Thresholds of the similarity joins over page addresses and vectors.
 URL_LEVENSHTEIN, URL_COSINE, URL_JACCARD = 0.75, 0.95, 0.8
 HASH_COSINE, HASH_MINKOWSKI, VECTOR = 0.995, 0.7, 0.45
+KMEANS = {"k": 5, "seed": 42, "starts": 3, "rounds": 15, "tolerance": 0.0}
 
 
 def query(build):
@@ -388,13 +389,18 @@ def spearman_nonzero(spark, sf_dir):
 
 @query
 def permutation_p(spark, sf_dir):
-    return _six(compare.permutation_test(_normal(spark, sf_dir), "follow", "alike"), "rho", "p_value")
+    return _six(compare.permutation_test(_normal(spark, sf_dir)), "rho", "p_value")
+
+
+@query
+def permutation_p_nonzero(spark, sf_dir):
+    return _six(compare.permutation_test(_suppliers(spark, sf_dir), sparse=True), "rho", "p_value")
 
 
 @query
 def permutation_histogram(spark, sf_dir):
-    null = compare.permutation_null(_normal(spark, sf_dir), "follow", "alike")
-    rows = null.select(F.lit("follow|alike").alias("source"), F.col("rho").alias("value"), F.lit(1).cast("long").alias("w"))
+    null = compare.permutation_null(_normal(spark, sf_dir))
+    rows = null.select(F.concat_ws("|", "source1", "source2").alias("source"), F.col("rho").alias("value"), F.lit(1).cast("long").alias("w"))
     return _six(distribution.histogram(cut(rows), bins=30, density=True), "low", "high", "frequency")
 
 
@@ -525,6 +531,14 @@ def label_distribution(spark, sf_dir):
     return evaluate.label_distribution(docs, known)
 
 
+@query
+def kmeans_points(spark, sf_dir):
+    """Three starts and 15 rounds over sizes and prices of parts, which SQL can follow."""
+    point = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") - 900)
+    points = _table(spark, sf_dir, "part").select(F.lit("part").alias("key"), F.col("p_partkey").alias("id"), point.alias("point"))
+    return kmeans.lloyd(points, **KMEANS).select("id", "cluster")
+
+
 @query
 def kmeans_labels(spark, sf_dir):
     return kmeans_clusters(_vectors(spark, sf_dir), 10)

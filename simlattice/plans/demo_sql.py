@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from simlattice.operators import permute
 from simlattice.plans import demo
 from simlattice.sources.tables import SUPPLIER_SOURCES
 
@@ -418,6 +419,45 @@ RANKED = """ranked AS (
 RHO = "SELECT source1, source2, round(corr(ra, rb), 6) AS rho FROM ranked GROUP BY source1, source2"
 ORACLES["spearman_rho"] = _with(NORMAL + [_side_by_side("norm"), RANKED], RHO)
 ORACLES["spearman_nonzero"] = _with(PAIRS + [_side_by_side("pairs"), RANKED], RHO)
+
+
+def _turns(a: str, b: str, seed: int) -> str:
+    """Positions ``x, y`` of every cell after the turns of ``permute.moved`` on a grid ``a x b``."""
+    rows = f"SELECT cell, r, cell // {b} AS x, cell % {b} AS y FROM ranks_ CROSS JOIN (SELECT unnest(range(3000)) AS r)"
+    for t in range(permute.TURNS):
+        one, other, size = ("x", "y", a) if t % 2 == 0 else ("y", "x", b)
+        h = f"(({other} * {permute.A} + r * {permute.B} + {(seed + t) * permute.C}) % {permute.P})"
+        rows = f"SELECT cell, r, {other}, ({one} + (({h} * {h} + {h} * {permute.D}) % {permute.P}) % {size}) % {size} AS {one} FROM ({rows})"
+    return rows
+
+
+NULL = [
+    "numbered_ AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM common)",
+    "size_ AS (SELECT max(n) AS n, CASE WHEN max(n) % 2 = 0 THEN max(n) - 1 ELSE max(n) END AS a, CASE WHEN max(n) % 2 = 0 THEN max(n) // 2 ELSE (max(n) - 1) // 2 END AS b FROM numbered_)",
+    """ranks_ AS MATERIALIZED (
+  SELECT i * (2 * n - i - 1) // 2 + j - i - 1 AS cell, """
+    + ", ".join(f"max(CASE WHEN source = '{s}' THEN rk END) AS r{k}" for k, s in enumerate(SUPPLIER_SOURCES))
+    + """ FROM (
+    SELECT source, least(p.pos, q.pos) AS i, greatest(p.pos, q.pos) AS j, p.n,
+           rank() OVER (PARTITION BY source ORDER BY similarity) + (count(*) OVER (PARTITION BY source, similarity) - 1) / 2.0 - (p.n * (p.n - 1) / 2 + 1) / 2.0 AS rk
+    FROM norm JOIN numbered_ p ON p.id = id1 JOIN numbered_ q ON q.id = id2) GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY i, j, n"),
+    f"moved AS (SELECT cell, r, x * (SELECT b FROM size_) + y AS target FROM ({_turns('(SELECT a FROM size_)', '(SELECT b FROM size_)', 42)}))",
+    "sums_ AS (SELECT r, "
+    + ", ".join(f"sum(u.r{i} * v.r{j}) AS c{i}_{j}" for i, j in combinations(range(len(SUPPLIER_SOURCES)), 2))
+    + " FROM moved JOIN ranks_ u ON u.cell = moved.cell JOIN ranks_ v ON v.cell = moved.target GROUP BY r)",
+    "null_ AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{SUPPLIER_SOURCES[i]}' AS source1, '{SUPPLIER_SOURCES[j]}' AS source2, r, c{i}_{j} / (SELECT sqrt(sum(r{i} * r{i}) * sum(r{j} * r{j})) FROM ranks_) AS rho FROM sums_"
+        for i, j in combinations(range(len(SUPPLIER_SOURCES)), 2)
+    )
+    + ")",
+]
+ORACLES["permutation_p"] = _with(
+    NORMAL + [_side_by_side("norm"), RANKED, "seen_ AS (SELECT source1, source2, corr(ra, rb) AS seen FROM ranked GROUP BY source1, source2)"] + NULL,
+    """SELECT source1, source2, round(seen, 6) AS rho,
+  round(least(1.0, 2 * (least(count(*) FILTER (rho <= seen + abs(seen) * 1e-12), count(*) FILTER (rho >= seen - abs(seen) * 1e-12)) + 1) / 3001.0), 6) AS p_value
+FROM null_ JOIN seen_ USING (source1, source2) GROUP BY source1, source2, seen""",
+)
 FROBENIUS = """SELECT source1, source2, round(sqrt({times} * sum((a - b) * (a - b))), 6) AS frobenius,
        round(sqrt({times} * sum((a - b) * (a - b)) / {cells}), 6) AS rmse FROM side GROUP BY source1, source2"""
 ORACLES["frobenius_rmse"] = _with(
@@ -486,6 +526,14 @@ def _histogram(table: str, value: str) -> list[str]:
     ]
 
 
+ORACLES["permutation_histogram"] = _with(
+    NORMAL + NULL + ["null_rows AS (SELECT source1 || '|' || source2 AS source, rho AS v FROM null_)",
+                     "span AS (SELECT source, min(v) AS lo, max(v) AS hi, count(*) AS total FROM null_rows GROUP BY source)",
+                     "hits AS (SELECT source, least(floor(round((v - lo) / (hi - lo) * 30, 9)), 29) AS bin, count(*) AS n FROM null_rows JOIN span USING (source) GROUP BY 1, 2)"],
+    """SELECT span.source, CAST(b.bin AS INTEGER) AS bin, round(lo + (hi - lo) / 30 * b.bin, 6) AS low, round(lo + (hi - lo) / 30 * (b.bin + 1), 6) AS high,
+  round(coalesce(n, 0) / (total * (lo + (hi - lo) / 30 * (b.bin + 1) - (lo + (hi - lo) / 30 * b.bin))), 6) AS frequency
+FROM span CROSS JOIN range(30) AS b(bin) LEFT JOIN hits ON hits.source = span.source AND hits.bin = b.bin""",
+)
 ORACLES["histogram_original"] = _with(GRID + _histogram("grid", "ln(1 + similarity)"), "SELECT * FROM hist")
 ORACLES["histogram_normalized"] = _with(NORMAL + _histogram("norm", "similarity"), "SELECT * FROM hist")
 ORACLES["distance_distribution"] = _with(
@@ -575,3 +623,27 @@ ORACLES["macro_f1_majority"] = _with(
 ORACLES["label_codes"] = "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT lang AS label FROM documents)"
 ORACLES["label_distribution"] = """
 SELECT quality AS label, count(*) AS projects FROM labels JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY quality"""
+
+
+def _kmeans() -> str:
+    """Rounds of ``kmeans.lloyd`` without a tolerance, one table of centres after the other."""
+    k, seed, starts, rounds = (demo.KMEANS[c] for c in ("k", "seed", "starts", "rounds"))
+    parts = [
+        "points AS MATERIALIZED (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice - 900 AS y FROM part)",
+        f"""c0 AS MATERIALIZED (SELECT s, c, x, y FROM (
+  SELECT s, x, y, row_number() OVER (PARTITION BY s ORDER BY md5(concat(id, ':', s + {seed})), id) - 1 AS c
+  FROM points CROSS JOIN (SELECT unnest(range({starts})) AS s)) WHERE c < {k})""",
+    ]
+
+    def dealt(t: int) -> str:
+        return f"""near{t} AS MATERIALIZED (SELECT * FROM (
+  SELECT p.id, p.x, p.y, s, c, d, row_number() OVER (PARTITION BY s, id ORDER BY d, c) AS place FROM (
+    SELECT p.id, p.x, p.y, s, c, (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) AS d FROM points p CROSS JOIN c{t} m) p) WHERE place = 1)"""
+
+    for t in range(rounds):
+        parts += [dealt(t), f"c{t + 1} AS MATERIALIZED (SELECT m.s, m.c, coalesce(avg(n.x), any_value(m.x)) AS x, coalesce(avg(n.y), any_value(m.y)) AS y FROM c{t} m LEFT JOIN near{t} n ON n.s = m.s AND n.c = m.c GROUP BY m.s, m.c)"]
+    parts.append(dealt(rounds))
+    return _with(parts, f"SELECT id, CAST(c AS INTEGER) AS cluster FROM near{rounds} WHERE s = (SELECT s FROM near{rounds} GROUP BY s ORDER BY sum(d), s LIMIT 1)")
+
+
+ORACLES["kmeans_points"] = _kmeans()

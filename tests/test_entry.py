@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["url_owner_key", "last_label", "char_jaccard", "align_union_anchor", "normalize_stats", "leader_labels", "overlap_matrix", "hausdorff_exact", "topk_report", "adjusted_rand", "symmetric_cells", "singleton_ratio"]
+CHECKED = ["url_owner_key", "last_label", "char_jaccard", "align_union_anchor", "normalize_stats", "leader_labels", "overlap_matrix", "hausdorff_exact", "topk_report", "adjusted_rand", "symmetric_cells", "singleton_ratio", "permutation_p", "kmeans_points", "levenshtein_pairs", "hash3d_cosine"]
 
 
 @pytest.fixture(scope="module")
@@ -39,4 +39,4 @@ def test_query_equals_sql(spark, db, name):
 def test_registration():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = {q for q in entry.queries() if q not in entry.LLM_QUERIES}
-    assert own - set(entry.oracle_sql()) == {"distance_embedding", "permutation_p", "permutation_histogram", "kmeans_labels", "kmeans_scores"}
+    assert own - set(entry.oracle_sql()) == {"distance_embedding", "permutation_p_nonzero", "kmeans_labels", "kmeans_scores"}

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from simlattice.operators import compare, distribution
+from simlattice.operators import compare, distribution, permute
 from simlattice.operators.align import Aligned, align, align_report, align_to_anchor, sample_ids, shared_entities
 from simlattice.operators.matrix import Matrices, build_matrices, mirrored, symmetrize, upper_aligned
 from simlattice.operators.normalize import normalize, positive_range, stage_stats, to_distance, value_stats, with_background
@@ -205,30 +205,70 @@ def test_hausdorff_of_values(sources):
         assert got[a, b] == pytest.approx(max(d.min(axis=1).max(), d.min(axis=0).max()))
 
 
-@pytest.mark.parametrize("n", [2, 5, 8, 13])
-def test_cells_are_permuted(spark, n):
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 12, 13])
+def test_cells_are_permuted(n):
     size = n * (n - 1) // 2
-    cells_ = spark.range(size).select(F.col("id").alias("cell")).withColumn("resample", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    moved = compare._shuffled(cells_.withColumn("start", F.col("cell")), n, 42).collect()
-    for r in range(3):
-        assert sorted(x["cell"] for x in moved if x["resample"] == r) == list(range(size))
-    if n == 13:
-        assert len({tuple(x["cell"] for x in sorted(moved, key=lambda x: x["start"]) if x["resample"] == r) for r in range(3)}) == 3
+    seen = {tuple(permute.moved(np.arange(size), *permute.triangle_grid(n), size, r, 42).tolist()) for r in range(3)}
+    assert all(sorted(s) == list(range(size)) for s in seen)
+    assert n < 5 or len(seen) == 3
 
 
 def test_permutation_test(sources):
     ids, dense, aligned = sources
-    null = [r["rho"] for r in compare.permutation_null(aligned, "p", "q", 150).collect()]
+    null = [r["rho"] for r in compare.permutation_null(aligned, 150).filter("source1 = 'p' and source2 = 'q'").collect()]
     assert len(null) == 150 and abs(np.mean(null)) < 0.05 and np.std(null) == pytest.approx(1 / math.sqrt(77), rel=0.25)
     twice = aligned.pairs.filter("source = 'p'")
     same = aligned._replace(
         pairs=twice.unionByName(twice.withColumn("source", F.lit("copy"))), sources=["p", "copy"],
         background={"p": 0.0, "copy": 0.0}, stored={"p": aligned.stored["p"], "copy": aligned.stored["p"]},
     )
-    row = compare.permutation_test(same, "p", "copy", 99).first()
+    row = compare.permutation_test(same, 99).first()
     assert row["rho"] == pytest.approx(1.0) and row["p_value"] == pytest.approx(2 / 100)
 
 
+def rank(x):
+    order = np.sort(x)
+    return (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") + 1) / 2
+
+
+@pytest.mark.parametrize("block, work, span", [(500_000, 20_000_000, 8_000_000), (11, 60, 8_000_000), (11, 60, 3)])
+def test_permutations_equal_plain_ones(sources, monkeypatch, block, work, span):
+    """All source pairs, dense and nonzero, against the permutation carried out on whole arrays."""
+    monkeypatch.setattr(permute, "BLOCK", block)
+    monkeypatch.setattr(permute, "WORK", work)
+    monkeypatch.setattr(permute, "SPAN", span)
+    ids, dense, aligned = sources
+    names, n = aligned.sources, len(ids)
+    for sparse in (False, True):
+        got = {}
+        for r in compare.permutation_null(aligned, 7, 5, sparse).collect():
+            got.setdefault((r["source1"], r["source2"]), {})[r["resample"]] = r["rho"]
+        test = {(r["source1"], r["source2"]): (r["rho"], r["p_value"]) for r in compare.permutation_test(aligned, 7, 5, sparse).collect()}
+        for a, b in itertools.combinations(names, 2):
+            x, y = upper(dense, ids, a), upper(dense, ids, b)
+            if sparse:
+                both = (x != 0) & (y != 0)
+                x, y = x[both], y[both]
+            u, v = rank(x) - (len(x) + 1) / 2, rank(y) - (len(x) + 1) / 2
+            size = math.sqrt((u**2).sum() * (v**2).sum())
+            sides = permute.grid(len(x)) if sparse else permute.triangle_grid(n)
+            expected = [(u * v[permute.moved(np.arange(len(x)), *sides, len(x), r, 5)]).sum() / size for r in range(7)]
+            assert [got[a, b][r] for r in range(7)] == pytest.approx(expected)
+            rho = (u * v).sum() / size
+            tail = min(sum(e <= rho + abs(rho) * 1e-12 for e in expected), sum(e >= rho - abs(rho) * 1e-12 for e in expected))
+            assert test[a, b] == (pytest.approx(rho), pytest.approx(min(1, 2 * (tail + 1) / 8)))
+
+
+def test_moves_are_permutations():
+    for size in (1, 2, 3, 10, 97, 780):
+        for a, b in {permute.grid(size)} | ({permute.triangle_grid(40)} if size == 780 else set()):
+            assert a * b >= size
+            seen = [tuple(permute.moved(np.arange(size), a, b, size, r, 42).tolist()) for r in range(5)]
+            assert all(sorted(s) == list(range(size)) for s in seen)
+            if size > 90:
+                assert len(set(seen)) == 5 and all(sum(i == c for i, c in enumerate(s)) < 10 for s in seen)
+
+
 def test_distributions(sources):
     ids, dense, aligned = sources
     data = with_background(aligned, "similarity")
