@@ -180,7 +180,8 @@ def test_frequent_values_are_joined_without_shuffle(spark, sources):
 
 
 @pytest.mark.parametrize("block", [None, 4, 200])
-def test_hausdorff(sources, block):
+def test_hausdorff(sources, block, monkeypatch):
+    monkeypatch.setattr(compare, "SLICE", 3)  # several slices of columns
     ids, dense, aligned = sources
     normal = normalize(aligned)[0]
     got = {(r["source1"], r["source2"]): r["gromov"] for r in compare.hausdorff(normal, block_size=block, tile_rows=5).collect()}
