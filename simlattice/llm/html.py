@@ -11,7 +11,11 @@ extracted again from the winning path of its host, if all its article text
 lies below; otherwise from its own container.
 
 Within a container the elements that hold no article text are left out, by
-their tag or by a word of their class, id or role (fixed lists below).
+their tag or by a word of their class, id or role (fixed lists below). A form
+or an element with such a word stays if it holds the start of the article
+(the first ``main`` or ``article``, else the first ``h1``) and half of the
+page's own text: a wrapper may be called ``has-sidebar``. Headers go as the
+contract says, that of an article with its headline too.
 
 Pages are parsed by one pass of a pattern, row by row in Arrow batches. Votes
 are summed before they are shuffled. Hosts with over a thousandth of all
@@ -65,9 +69,19 @@ LEFT_OUT_WORDS = frozenset(
 IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "tr": ("tr", ("table",)), "dd": ("dd", ("dl",)), "dt": ("dt", ("dl",))}
 
 
-def blocks(page: str):
-    """Text blocks in page order: text, letters in links, path and left-out flag of the containers around, and the tag of the block."""
-    stack = [("", "", False)]  # tag, path of its container, left out
+def blocks(page: str) -> tuple[list[tuple], frozenset | None]:
+    """Text blocks in page order, and the doubtful elements around the start of the article.
+
+    A block has its text, letters in links, path of its container, whether an
+    element around it is left out by its tag, the tag of the block, and the
+    numbers of the doubtful elements around it: those with a listed word, and
+    forms. The article starts at the first ``main`` or ``article`` (None: at the
+    first ``h1``, or nowhere).
+    """
+    stack = [("", "", False, frozenset())]  # tag, path of its container, left out, doubtful elements
+    found: list[tuple] = []
+    starts: dict[str, frozenset] = {}
+    doubtful = 0
     text: list[str] = []
     linked, in_link = 0, 0
 
@@ -76,11 +90,10 @@ def blocks(page: str):
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
-            found, linked = linked, 0
+            letters, linked = linked, 0
             if joined:
-                return joined, found, stack[-1][1], stack[-1][2], stack[-1][0]
+                found.append((joined, letters, stack[-1][1], stack[-1][2], stack[-1][0], stack[-1][3]))
         linked = 0
-        return None
 
     for token in TOKEN.finditer(page):
         raw, (hidden, end, tag, attributes) = token.group(), token.groups()
@@ -99,9 +112,7 @@ def blocks(page: str):
             text.append(" ")
             continue
         if tag in BLOCKS:
-            block = flush()
-            if block:
-                yield block
+            flush()
         if end:
             if tag == "a":
                 in_link = 0
@@ -121,18 +132,39 @@ def blocks(page: str):
                     break
                 if stack[i][0] in borders:
                     break
-            _, path, out = stack[-1]
+            _, path, out, doubts = stack[-1]
             marks = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)} if attributes and "=" in attributes else {}
             if tag in CONTAINERS or tag in LEFT_OUT:
                 classes = ".".join(sorted(re.sub(r"\d+", "#", c).replace(">", "") for c in marks.get("class", "").split()))
                 path = f"{path}>{tag}.{classes}" if classes else f"{path}>{tag}"
             if not out:
                 words = re.findall(r"[a-z]+", " ".join(marks.values()).lower()) if marks else ()
-                out = tag in LEFT_OUT or (tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(words))
-            stack.append((tag, path, out))
-    block = flush()
-    if block:
-        yield block
+                out = tag in LEFT_OUT and tag != "form"
+                if tag == "form" or tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(words):
+                    doubtful += 1
+                    doubts = doubts | {doubtful}
+                if not out and tag in ("main", "article", "h1"):
+                    starts.setdefault("h1" if tag == "h1" else "article", doubts)
+            stack.append((tag, path, out, doubts))
+    flush()
+    return found, starts.get("article", starts.get("h1"))
+
+
+def kept_blocks(page: str) -> list[tuple]:
+    """Blocks outside the elements that hold no article text: text, letters in links, path, tag.
+
+    A doubtful element stays if it holds the start of the article and half of
+    the page's own text: then it is a wrapper of the page, whatever its name.
+    """
+    found, start = blocks(page)
+    own = [0 if out else max(0, len(text) - linked) for text, linked, _, out, _, _ in found]
+    held: dict[int, int] = {}
+    for letters, (*_, doubts) in zip(own, found):
+        for d in doubts:
+            held[d] = held.get(d, 0) + letters
+    total = sum(own)
+    wrappers = {d for d, letters in held.items() if 2 * letters >= total > 0 and (start is None or d in start)}
+    return [(text, linked, path, tag) for text, linked, path, out, tag, doubts in found if not out and doubts <= wrappers]
 
 
 def common(paths) -> str:
@@ -150,7 +182,7 @@ def below(path: str, where: str) -> bool:
 def container(found: list[tuple]) -> str | None:
     """Innermost path that holds all article text of a page's blocks that are not left out; None if they hold none."""
     full, some = set(), set()
-    for text, linked, path, _, tag in found:
+    for text, linked, path, tag in found:
         own = len(text) > 2 * linked
         if own or tag == "h1":
             some.add(path)
@@ -167,10 +199,6 @@ def container(found: list[tuple]) -> str | None:
     return common({p for p in some if below(p, top)})
 
 
-def kept_blocks(page: str) -> list[tuple]:
-    return [block for block in blocks(page) if not block[3]]
-
-
 def extract(page: str, path: str | None) -> str:
     """Text below the container path if it holds all article text of the page, or else below the page's own container."""
     found = kept_blocks(page)
