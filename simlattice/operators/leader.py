@@ -14,6 +14,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from simlattice.runtime import choose, cut, hot_or_none, lookup, numbered
 HOT_ROWS = 1_000_000
 # Thresholds in one mask, which is a long.
 MASK_STEPS = 62
+# Stored pairs and entities of a combination up to which one task visits them in turn; beyond it rounds of joins do.
+LOCAL_ROWS = 2_000_000
 
 
 def visit_key(id: Column, seed: int = 42) -> Column:
@@ -74,20 +79,76 @@ def _masked_clusters(combined: Combined, ranges: dict[str, list[float]], seed: i
             "from_step",
         )
     )
-    near = edges.withColumn("bits", F.call_function("shiftleft", F.lit(full), F.col("from_step")).bitwiseAND(F.lit(full)))
-    near = near.filter("bits != 0")
-
     combo_rows = combined.ids.select("id", F.explode(F.array(*[F.lit(c) for c in ranges])).alias("combo"))
-    nodes = cut(
-        combo_rows.select(
-            "combo", "id", choose(narrow_mask, F.col("combo"), "long").alias("open"), F.lit(0).cast("long").alias("leads")
+    held = {r["combo"]: r["count"] for r in edges.groupBy("combo").count().collect()}
+    small = [c for c in ranges if max(combined.n, held.get(c, 0)) <= LOCAL_ROWS]
+    parts = []
+    if small:
+        parts.append(_local_clusters(combo_rows.filter(F.col("combo").isin(small)), edges.filter(F.col("combo").isin(small)), {c: len(ranges[c]) for c in small}, wide_from, seed))
+    large = [c for c in ranges if c not in small]
+    if large:
+        combo_rows, edges = (rows.filter(F.col("combo").isin(large)) for rows in (combo_rows, edges))
+        near = edges.withColumn("bits", F.call_function("shiftleft", F.lit(full), F.col("from_step")).bitwiseAND(F.lit(full)))
+        near = near.filter("bits != 0")
+        nodes = cut(
+            combo_rows.select(
+                "combo", "id", choose(narrow_mask, F.col("combo"), "long").alias("open"), F.lit(0).cast("long").alias("leads")
+            )
         )
-    )
-    hubs = combined.hubs and combined.hubs.select("combo", F.col("id").alias("early"))
-    nodes = _elect(nodes, near, hubs)
-    narrow = _members(nodes, near, hubs, steps, seed)
-    wide = {c: s for c, s in wide_from.items() if s < steps}
-    return narrow.unionByName(_wide_clusters(combo_rows, edges, wide, steps, seed)) if wide else narrow
+        hubs = combined.hubs and combined.hubs.select("combo", F.col("id").alias("early"))
+        nodes = _elect(nodes, near, hubs)
+        parts.append(_members(nodes, near, hubs, steps, seed))
+        wide = {c: s for c, s in wide_from.items() if s < steps and c in large}
+        if wide:
+            parts.append(_wide_clusters(combo_rows, edges, wide, steps, seed))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _local_clusters(combo_rows: DataFrame, edges: DataFrame, steps: dict[str, int], wide_from: dict[str, int], seed: int) -> DataFrame:
+    """Clusters of combinations that are known to fit a task, one task each: the visits one after the other."""
+    kind = combo_rows.schema["id"].dataType.simpleString()
+    nodes = combo_rows.select("combo", F.col("id").alias("early"), F.lit(None).cast(kind).alias("late"), F.lit(None).cast("int").alias("from_step"), visit_key(F.col("id"), seed).alias("key"))
+    links = edges.select("combo", "early", "late", F.col("from_step").cast("int").alias("from_step"), F.lit(None).cast(nodes.schema["key"].dataType).alias("key"))
+
+    def visit(group: pa.Table) -> pa.Table:
+        combo = group.column("combo")[0].as_py()
+        is_node = pc.is_null(group.column("late"))
+        order = group.filter(is_node).sort_by([("key", "ascending"), ("early", "ascending")])
+        ids = order.column("early").combine_chunks()
+        pairs = group.filter(pc.invert(is_node))
+        a, b = (np.asarray(pc.index_in(pairs.column(c).combine_chunks(), value_set=ids)) for c in ("early", "late"))
+        first, n = pairs.column("from_step").to_numpy(), len(ids)
+        out = [_visited(n, a, b, first, s, s >= wide_from[combo]) for s in range(steps[combo])]
+        leader = np.concatenate(out) if out else np.zeros(0, np.int64)
+        at = np.tile(np.arange(n), len(out))
+        return pa.table({
+            "combo": pa.array([combo] * len(at)), "step": pa.array(np.repeat(np.arange(len(out)), n), pa.int32()),
+            "id": ids.take(pa.array(at)), "leader": ids.take(pa.array(leader)),
+        })
+
+    return nodes.unionByName(links).groupBy("combo").applyInArrow(visit, f"combo string, step int, id {kind}, leader {kind}")
+
+
+def _visited(n: int, a: np.ndarray, b: np.ndarray, first: np.ndarray, step: int, wide: bool) -> np.ndarray:
+    """Leader of each of ``n`` entities in visiting order; pairs ``a < b`` are near from step ``first`` on, others if ``wide``."""
+    use = first > step if wide else first <= step  # the stored pairs that keep apart, or that bring together
+    one, other = a[use], b[use]
+    order = np.argsort(one, kind="stable")
+    other = other[order]
+    start = np.searchsorted(one[order], np.arange(n + 1))
+    leader = np.full(n, -1)
+    for i in range(n):
+        if leader[i] >= 0:
+            continue
+        known = other[start[i] : start[i + 1]]
+        if wide:
+            taken = leader[i + 1 :] < 0
+            taken[known - i - 1] = False
+            leader[i + 1 :][taken] = i
+        else:
+            leader[known[leader[known] < 0]] = i
+        leader[i] = i
+    return leader
 
 
 def _elect(nodes: DataFrame, near: DataFrame, hubs: DataFrame | None) -> DataFrame:

@@ -9,6 +9,7 @@ import brute
 from simlattice.operators.align import Aligned
 from simlattice.operators.combine import combine_distances, combo_stats, source_combinations, threshold_range
 from simlattice.operators.embed import distance_planes
+from simlattice.operators import leader
 from simlattice.operators.leader import leader_clusters, number_clusters
 from simlattice.operators.medoid import medoids
 from simlattice.operators.overlap import nested_pairs, overlap_detail, overlap_scores
@@ -45,9 +46,11 @@ def combined_dense(ids, dense, combo):
 
 
 @pytest.mark.parametrize(
-    "n, share, seed, far, hub_rows", [(18, 1.0, 0, 0.9, 10**6), (22, 0.3, 1, 1.0, 7), (20, 0.5, 2, 0.35, 10), (16, 0.6, 3, 0.0, 10**6)]
+    "n, share, seed, far, hub_rows, local",
+    [(18, 1.0, 0, 0.9, 10**6, 0), (22, 0.3, 1, 1.0, 7, 0), (20, 0.5, 2, 0.35, 10, 0), (16, 0.6, 3, 0.0, 10**6, 0), (18, 1.0, 0, 0.9, 10**6, 10**6), (20, 0.5, 2, 0.35, 10, 10**6), (20, 0.5, 5, 0.35, 10, 100)],
 )
-def test_clusters_scores_and_overlap_equal_the_sequential_rules(spark, monkeypatch, n, share, seed, far, hub_rows):
+def test_clusters_scores_and_overlap_equal_the_sequential_rules(spark, monkeypatch, n, share, seed, far, hub_rows, local):
+    monkeypatch.setattr(leader, "LOCAL_ROWS", local)  # by rounds of joins, in one task, or some combinations each way
     if hub_rows < 100:  # large clusters and hubs take their own way
         monkeypatch.setattr(number_clusters, "__defaults__", (42, 3))
         monkeypatch.setattr(medoids, "__defaults__", (*medoids.__defaults__[:-1], 3))
@@ -98,7 +101,9 @@ def test_clusters_scores_and_overlap_equal_the_sequential_rules(spark, monkeypat
         assert got[a, b] == pytest.approx(want), (a, b)
 
 
-def test_a_hundred_thresholds(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_a_hundred_thresholds(spark, monkeypatch, local):
+    monkeypatch.setattr(leader, "LOCAL_ROWS", local)
     ids, aligned, dense = random_sources(spark, 14, 0.6, 4, {"p": 0.8})
     combined = combine_distances(aligned, {"p": ("p",)})
     ranges = threshold_range(combined, 100)
