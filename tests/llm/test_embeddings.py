@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simlattice.llm import negatives, pivots, whiten
+from simlattice.llm import ann, negatives, pivots, whiten
 
 SF = "/root/testdata/sf0.001"
 ROWS = "vec_id long, embedding array<float>, label int, id int, v string, uid long, m long, ball int, n long"
@@ -250,3 +250,11 @@ def test_negatives_of_odd_rows(spark):
     assert got == [(f"k{a:03}", f"k{p:03}", r, f"k{i:03}", s, t) for a, p, r, i, s, t in expected]
     assert negatives.hard_negatives(rows.limit(0), F.col("id") % 3 == 0).collect() == []
     assert negatives.hard_negatives(rows, F.lit(False)).collect() == []
+
+
+def test_nearest_of_very_large_and_small_components(spark):
+    vectors = [[1e200, 2e200], [3e200, 1e200], [1e-200, 2e-200], [1.0, -1.0]]
+    rows = table(spark, vectors, schema="vec_id long, embedding array<double>, label int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(rows, F.col("id") < 2, probe=1.0).collect())
+    half, cross, far = round(5 / math.sqrt(50), 9), round(-1 / math.sqrt(10), 9), round(2 / math.sqrt(20), 9)
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, half), (0, 3, 3, cross), (1, 1, 0, half), (1, 2, 2, half), (1, 3, 3, far)]
