@@ -3,12 +3,15 @@
 Vectors are scaled to length 1, where the largest cosine is the smallest
 distance, and turned by a random rotation, so that any block of columns tells
 about the same of a distance. Centroids fitted on a bounded sample divide all
-vectors into lists; a query scans the lists whose centroids are nearest. In a
-list the columns are read in blocks. After ``d`` of ``D`` columns the partial
-squared distance ``p`` tests the hypothesis that the candidate is within the
-radius ``r`` of the best found: it is given up if
+vectors into lists. A query first scans the lists whose centroids are nearest,
+until they hold ``FIRST`` rows. The distance ``r`` of the last of its best goes
+with it to the other lists it probes; a list whose members must all be farther
+than ``r`` (distance to the centroid less the list's reach) is left out. In a
+list the columns are read in blocks, for all queries of the task at once.
+After ``d`` of ``D`` columns the partial squared distance ``p`` tests the
+hypothesis that the candidate is within the radius: it is given up if
 
-    p * D / d > r * (1 + eps / sqrt(d)) ** 2
+    p * D / d > r ** 2 * (1 + eps / sqrt(d)) ** 2
 
 What survives all blocks is scored exactly, on the original vectors in double
 precision.
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +41,11 @@ from simlattice.runtime import cut
 
 SAMPLE = 8192
 LISTS = 1024
+FIRST = 256
 PART = 4096
 QUERIES = 16384
 BLOCK = 16
+TOGETHER = 256
 EPS = 2.1
 SEED = 7
 
@@ -77,31 +83,44 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray
     return centroids
 
 
-def scan(query: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Indices of rows that may be among the ``k`` nearest to ``query``; both are rotated and of length 1."""
-    n, dim = rows.shape
-    first = min(n, max(4 * k, 64))
-    full = ((rows[:first] - query) ** 2).sum(axis=1)
-    radius = np.partition(full, k - 1)[k - 1] if first >= k else np.inf
-    kept, exact = [np.arange(first)], [full]
-    for start in range(first, n, 1024):
-        at = np.arange(start, min(n, start + 1024))
-        partial = np.zeros(len(at))
+def scan(queries: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (query, row) that may be among the ``k`` nearest, and the number of components read.
+
+    All are rotated and of length 1. ``bound``: squared distance of every query
+    beyond which no row is wanted, infinite if unknown; it shrinks on the way.
+    """
+    (n, dim), m = rows.shape, len(queries)
+    radius, best = bound.astype(np.float64), np.full((m, k), np.inf)
+    found, read, start = [], 0, 0
+    while start < n:
+        stop = min(n, start + (1024 if start else max(4 * k, 64)))
         for c in range(0, dim, BLOCK):
             d = min(dim, c + BLOCK)
-            partial = partial + ((rows[at, c:d] - query[c:d]) ** 2).sum(axis=1)
             slack = (1 + EPS / np.sqrt(d)) ** 2 if d < dim else 1 + 1e-9
-            stay = partial * (dim / d) <= radius * slack + 1e-12
-            at, partial = at[stay], partial[stay]
-            if not len(at):
-                break
-        kept.append(at)
-        exact.append(partial)
-        known = np.concatenate(exact)
-        if len(known) >= k:
-            radius = min(radius, np.partition(known, k - 1)[k - 1])
-    at, distance = np.concatenate(kept), np.concatenate(exact)
-    return at[distance <= radius * (1 + 1e-9) + 1e-12]
+            if c == 0:
+                x, y = queries[:, :d], rows[start:stop, :d]
+                first = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0)
+                read += first.size * d
+                who, at = np.nonzero(first * (dim / d) <= radius[:, None] * slack + 1e-12)
+                partial = first[who, at]
+                at = at + start
+                continue
+            read += len(at) * (d - c)
+            partial = partial + ((rows[at, c:d] - queries[who, c:d]) ** 2).sum(axis=1)
+            stay = partial * (dim / d) <= radius[who] * slack + 1e-12
+            who, at, partial = who[stay], at[stay], partial[stay]
+        found.append((who, at, partial))
+        order = np.lexsort((partial, who))
+        place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        lead, place = order[place < k], place[place < k]
+        new = np.full((m, k), np.inf)
+        new[who[lead], place] = partial[lead]
+        best = np.sort(np.hstack([best, new]), axis=1)[:, :k]
+        radius = np.minimum(radius, best[:, -1])
+        start = stop
+    who, at, distance = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    near = distance <= radius[who] * (1 + 1e-9) + 1e-12
+    return who[near], at[near], read
 
 
 def nearest(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, probe: float = 0.7) -> DataFrame:
@@ -130,66 +149,80 @@ def nearest(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str =
 
     def assign(batches):
         for batch in batches:
-            list_of = np.argmax(unit(matrix(batch.column("v"), dim)) @ centroids.T, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list_of.astype(np.int32))], [*batch.schema.names, "list"])
+            cosine = unit(matrix(batch.column("v"), dim)) @ centroids.T
+            far = np.sqrt(np.maximum(2 - 2 * cosine.max(axis=1), 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(cosine, axis=1).astype(np.int32)), pa.array(far)], [*batch.schema.names, "list", "far"])
 
     vectors = f"v {classes.schema['v'].dataType.simpleString()}"
-    listed = cut(classes.mapInArrow(assign, f"{vectors}, ids array<{kind}>, list int"))
-    held = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # as many rows as lists
-    counts = np.array([held.get(i, 0) for i in range(lists)])
+    listed = cut(classes.mapInArrow(assign, f"{vectors}, ids array<{kind}>, list int, far double"))
+    held = {r["list"]: r for r in listed.groupBy("list").agg(F.count("list").alias("n"), F.max("far").alias("far")).collect()}  # as many rows as lists
+    counts = np.array([held[i]["n"] if i in held else 0 for i in range(lists)])
+    reach = np.array([held[i]["far"] if i in held else 0.0 for i in range(lists)])
     parts = np.maximum(1, -(-counts // PART))
     least = max(1, round(probe * lists))
 
-    def visits(batches):
-        """A row for each part of each list that a query scans: the nearest lists, and on until they hold enough rows."""
-        step = max(1, 65_536 // int(parts.sum()))  # a query gives a row for every part at most
+    def plan(batches):
+        """The lists that a query scans first, the others it probes, and how near their members can be at best."""
+        step = max(1, 65_536 // lists)
         for batch in (whole.slice(i, step) for whole in batches for i in range(0, len(whole), step)):
-            order = np.argsort(-(unit(matrix(batch.column("v"), dim)) @ centroids.T), axis=1, kind="stable")
-            found = np.cumsum(counts[order], axis=1)
-            use = np.maximum(least, (found < 20 * k).sum(axis=1) + 1)
-            who, where, part = [], [], []
-            for i, n in enumerate(use):
-                chosen = order[i, :n]
-                chosen = chosen[counts[chosen] > 0]
-                where.append(np.repeat(chosen, parts[chosen]))
-                part.append(np.concatenate([np.arange(p) for p in parts[chosen]]))
-                who.append(np.full(len(where[-1]), i))
-            who = np.concatenate(who) if who else np.zeros(0, np.int64)
+            cosine = unit(matrix(batch.column("v"), dim)) @ centroids.T
+            order = np.argsort(-cosine, axis=1, kind="stable")
+            sums = np.cumsum(counts[order], axis=1)
+            use = np.maximum(least, (sums < 20 * k).sum(axis=1) + 1)
+            first = np.minimum(use, (sums < max(20 * k, FIRST)).sum(axis=1) + 1)
+            gap = np.sqrt(np.maximum(2 - 2 * cosine, 0)) - reach - 1e-6
+            near = [o[:f][counts[o[:f]] > 0] for o, f in zip(order, first)]
+            rest = [o[f:u][counts[o[f:u]] > 0] for o, f, u in zip(order, first, use)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("id").take(pa.array(who)), batch.column("v").take(pa.array(who)),
-                pa.array(np.concatenate(where).astype(np.int32) if where else [], pa.int32()), pa.array(np.concatenate(part).astype(np.int32) if part else [], pa.int32()),
-            ], ["id", "v", "list", "part"])
+                batch.column("id"), batch.column("v"), pa.array([x.astype(np.int32) for x in near], pa.list_(pa.int32())),
+                pa.array([x.astype(np.int32) for x in rest], pa.list_(pa.int32())), pa.array([g[x] for g, x in zip(gap, rest)], pa.list_(pa.float64())),
+            ], ["id", "v", "near", "rest", "gap"])
 
     asking = one.filter(F.expr("true") if queries is None else queries).select("id", "v")
-    chunks = -(-asking.count() // QUERIES)
-    asked = asking.mapInArrow(visits, f"id {kind}, {vectors}, list int, part int").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(max(1, chunks))).cast("int"))
-    part_of = F.pmod(F.xxhash64("v"), F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("list") + 1)).cast("int")
-    stored = listed.select("ids", "v", "list", part_of.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(max(1, chunks) - 1))).alias("chunk"))
+    planned = cut(asking.mapInArrow(plan, f"id {kind}, {vectors}, near array<int>, rest array<int>, gap array<double>"))
+    chunks = max(1, -(-planned.count() // QUERIES))
+    part_count = F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("list") + 1)
+    part_of = F.pmod(F.xxhash64("v"), part_count).cast("int")
+    stored = listed.select("ids", "v", "list", part_of.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [], [], []
+        kinds = right.schema.field("id").type
+        done = [pa.table({"query_id": pa.array([], kinds), "id": pa.array([], kinds), "score": pa.array([], pa.float64())})]
         if left.num_rows and right.num_rows:
             original = level(matrix(left.column("v").combine_chunks(), dim))
             rows_turned = unit(original) @ rotation
             norms = np.linalg.norm(original, axis=1)
-            asks = level(matrix(right.column("v").combine_chunks(), dim))
-            turned = unit(asks) @ rotation
-            names = left.column("ids").to_pylist()
-            for i, name in enumerate(right.column("id").to_pylist()):
-                at = scan(turned[i], rows_turned, k + 1)
-                score = original[at] @ asks[i] / (norms[at] * np.linalg.norm(asks[i]))
-                others = [(-s, x) for j, s in zip(at.tolist(), score.tolist()) for x in [x for x in names[j] if x != name][:k]]
-                for s, x in sorted(others)[:k]:
-                    out[0].append(name)
-                    out[1].append(x)
-                    out[2].append(-s)
-        kinds = right.schema.field("id").type
-        return pa.Table.from_arrays([pa.array(out[0], kinds), pa.array(out[1], kinds), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
+            names = left.column("ids").combine_chunks()
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(names).to_numpy(zero_copy_only=False))])
+            for start in range(0, right.num_rows, TOGETHER):
+                some = right.slice(start, TOGETHER)
+                asks = level(matrix(some.column("v").combine_chunks(), dim))
+                who, at, _ = scan(unit(asks) @ rotation, rows_turned, some.column("bound").to_numpy(), k + 1)
+                score = (original[at] * asks[who]).sum(axis=1) / (norms[at] * np.linalg.norm(asks, axis=1)[who])
+                many = ends[at + 1] - ends[at]  # a pair for each id of the class
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[at], many)
+                who = np.repeat(who, many)
+                pairs = pa.table({"who": who, "query_id": some.column("id").take(pa.array(who)), "id": names.flatten().take(pa.array(place)), "score": np.repeat(score, many)})
+                pairs = pairs.filter(pc.not_equal(pairs["query_id"], pairs["id"])).sort_by([("who", "ascending"), ("score", "descending"), ("id", "ascending")])
+                who = pairs["who"].to_numpy()
+                done.append(pairs.filter(pa.array(np.arange(len(who)) - np.searchsorted(who, who) < k)).select(["query_id", "id", "score"]))
+        return pa.concat_tables(done)
+
+    def searched(asks: DataFrame) -> DataFrame:
+        """Scores found by rows ``id, v, bound, list``, of which every part of the list is visited."""
+        visits = asks.withColumn("part", F.explode(F.sequence(F.lit(0), part_count - 1))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+        both = stored.groupBy("list", "part", "chunk").cogroup(visits.groupBy("list", "part", "chunk"))
+        return both.applyInArrow(search, f"query_id {kind}, id {kind}, score double")
 
-    found = stored.groupBy("list", "part", "chunk").cogroup(asked.groupBy("list", "part", "chunk")).applyInArrow(search, f"query_id {kind}, id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    nothing = F.lit(float("inf"))
+    early = cut(ranked(searched(planned.select("id", "v", nothing.alias("bound"), F.explode("near").alias("list")))).drop("rank"))
+    bounds = early.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("score") >= k, 2 - 2 * F.min("score")).alias("bound"))
+    bounded = planned.join(bounds, "id", "left").withColumn("bound", F.greatest(F.coalesce("bound", nothing), F.lit(0.0)))
+    within = F.filter(F.arrays_zip("rest", "gap"), lambda x: (x["gap"] <= 0) | (x["gap"] * x["gap"] <= F.col("bound")))
+    late = searched(bounded.select("id", "v", "bound", F.explode(within).alias("at")).select("id", "v", "bound", F.col("at.rest").alias("list")))
+    return ranked(early.unionByName(late)).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,37 @@ def test_ann_groups_hold_a_chunk_of_queries(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_ann_scan_with_a_carried_bound_reads_less_than_half():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((2000, 64))
+    rows = ann.unit(centres[rng.integers(0, 2000, 50_000)] + 0.5 * rng.standard_normal((50_000, 64)))
+    queries = rows[:32]
+    centroids = ann.fit_centroids(rows[:8192], 223)
+    near = np.argsort(-(queries @ centroids.T), axis=1)
+    of = np.argmax(rows @ centroids.T, axis=1)
+    read = hit = 0
+    for i, q in enumerate(queries):
+        distance = ((rows - q) ** 2).sum(axis=1)
+        first, rest = np.flatnonzero(of == near[i, 0]), np.flatnonzero(of != near[i, 0])
+        bound = np.sort(distance[first])[5:6]
+        _, at, n = ann.scan(queries[i : i + 1], rows[rest], bound, 6)
+        found = np.concatenate([first, rest[at]])
+        read += n + len(first) * 64
+        hit += len(set(found[np.argsort(distance[found])[:6]]) & set(np.argsort(distance)[:6]))
+    assert read < 0.5 * 32 * 50_000 * 64 and hit >= 0.95 * 32 * 6
+
+
+@pytest.mark.parametrize("bound", [np.inf, 1.9])
+def test_ann_scan_keeps_ties_and_everything_when_short(bound):
+    rng = np.random.default_rng(3)
+    rows = ann.unit(rng.standard_normal((300, 64)))
+    rows[200:] = rows[0]
+    who, at, _ = ann.scan(rows[:2], rows, np.full(2, bound), 6)
+    assert set(at[who == 0]) == {0, *range(200, 300)}
+    assert len(ann.scan(rows[:2], rows[:3], np.full(2, np.inf), 6)[0]) == 6
+    assert len(ann.scan(rows[:2], rows[:0], np.full(2, np.inf), 6)[0]) == 0
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>x";</script></head><body><header>Site head</header><nav><ul><li><a href=#>Menu</a></ul></nav>
 <div class="ad-7">Buy now</div><div id=main class="post-%d"><h1>Title &amp; more</h1><p>First   paragraph of a long article with words, <b>bold<br>and</b> <a href=x>link</a>.<p>Second paragraph that is long enough.
 <form>Name <input></form><aside>Aside</aside><div class="cookie notice">We use cookies</div></div><section class="comments"><p>A reader comment that is rather long to read.</p></section><footer>&copy; foot</footer>"""
