@@ -15,7 +15,7 @@ from simlattice.operators.embed import distance_planes, kmeans_clusters
 from simlattice.operators.leader import cluster_sizes, leader_clusters, number_clusters
 from simlattice.operators.matrix import Matrices, build_matrices
 from simlattice.operators.medoid import medoids
-from simlattice.operators.normalize import normalize, positive_range, to_distance, value_stats, with_background
+from simlattice.operators.normalize import normalize, positive_range, stage_stats, to_distance, value_stats, with_background
 from simlattice.operators.silhouette import cluster_counts
 from simlattice.plans.comparison import cluster_combinations, compare_sources, source_distances
 from simlattice.plans.evaluation import evaluate_sources
@@ -275,6 +275,15 @@ def value_statistics(spark, sf_dir):
     return _six(value_stats(_suppliers(spark, sf_dir)), "min_value", "max_value", "mean_value", "std_value", "median_value")
 
 
+@query
+def stage_statistics(spark, sf_dir):
+    """A row per source, stage of the normalization and bin."""
+    rows = stage_stats(_suppliers(spark, sf_dir))
+    numbers = [c for c in rows.columns if c != "histogram"]
+    bars = rows.select(*numbers, F.posexplode("histogram").alias("bin", "bar")).select(*numbers, "bin", "bar.low", "bar.high", "bar.frequency")
+    return _six(bars, *numbers[2:], "low", "high")
+
+
 @query
 def distance_summary(spark, sf_dir):
     return _six(positive_range(_distances(spark, sf_dir)), "min_value", "max_value", "mean_value")
@@ -473,8 +482,8 @@ def topk_accuracy(spark, sf_dir):
 
 @query
 def topk_report(spark, sf_dir):
-    """Report over the labels 0 to 7; 8 and 9 are taken as unknown, as in the SQL, so that some rows show N/A."""
-    known = _vector_labels(spark, sf_dir).filter("label < 8")
+    """Report over every labelled vector; neighbours without a label show N/A."""
+    known = _vector_labels(spark, sf_dir).filter("label IS NOT NULL")
     return evaluate.topk_report(neighbors.nearest_vectors(_vectors(spark, sf_dir)), known).withColumnRenamed("acc@5", "acc_at_5")
 
 

@@ -337,6 +337,21 @@ ORACLES["value_statistics"] = _with(
     """SELECT source, round(min(similarity), 6) AS min_value, round(max(similarity), 6) AS max_value, round(avg(similarity), 6) AS mean_value,
        round(stddev_pop(similarity), 6) AS std_value, round(median(similarity), 6) AS median_value FROM grid GROUP BY source""",
 )
+ORACLES["stage_statistics"] = _with(
+    NORMAL + [
+        """stages AS (
+  SELECT source, 'before' AS stage, similarity AS v FROM grid UNION ALL
+  SELECT source, 'clip', x FROM shaped UNION ALL
+  SELECT source, 'zscore', (x - mean) / (std + 1e-6) FROM shaped JOIN z USING (source) UNION ALL
+  SELECT source, 'minmax', similarity FROM norm)""",
+        "ends_ AS (SELECT source, stage, min(v) AS bottom, max(v) AS top, avg(v) AS mean_, stddev_pop(v) AS std_, median(v) AS mid FROM stages GROUP BY source, stage)",
+        "hits AS (SELECT source, stage, least(floor(round((v - bottom) / (top - bottom) * 10, 9)), 9) AS bin, count(*) AS n FROM stages JOIN ends_ USING (source, stage) GROUP BY 1, 2, 3)",
+    ],
+    """SELECT e.source, e.stage, round(bottom, 6) AS min_value, round(top, 6) AS max_value, round(mean_, 6) AS mean_value, round(std_, 6) AS std_value, round(mid, 6) AS median_value,
+  CASE WHEN e.stage = 'clip' THEN round(st.crop_ratio, 6) END AS crop_ratio, CAST(b.bin AS INTEGER) AS bin,
+  round(bottom + (top - bottom) / 10 * b.bin, 6) AS low, round(bottom + (top - bottom) / 10 * (b.bin + 1), 6) AS high, CAST(coalesce(h.n, 0) AS DOUBLE) AS frequency
+FROM ends_ e JOIN st USING (source) CROSS JOIN range(10) AS b(bin) LEFT JOIN hits h ON h.source = e.source AND h.stage = e.stage AND h.bin = b.bin""",
+)
 ORACLES["distance_summary"] = _with(
     NORMAL,
     """SELECT source, round(min(distance), 6) AS min_value, round(max(distance), 6) AS max_value, round(avg(distance), 6) AS mean_value
@@ -569,12 +584,12 @@ ORACLES["topk_report"] = _with(
     NEAREST,
     "SELECT id, true_label AS true_type, "
     + ", ".join(
-        f"max(nbr) FILTER (WHERE rank = {r}) AS top{r}, max(CASE WHEN nbr_label < 8 THEN CAST(nbr_label AS VARCHAR) ELSE 'N/A' END) FILTER (WHERE rank = {r}) AS top{r}_type"
+        f"max(nbr) FILTER (WHERE rank = {r}) AS top{r}, max(coalesce(CAST(nbr_label AS VARCHAR), 'N/A')) FILTER (WHERE rank = {r}) AS top{r}_type"
         for r in range(1, 6)
     )
     + """, count(*) FILTER (WHERE nbr_label = true_label) AS match_count,
        CAST(count(*) FILTER (WHERE nbr_label = true_label) AS DOUBLE) / 5 AS acc_at_5
-FROM top WHERE true_label < 8 GROUP BY id, true_label""",
+FROM top WHERE true_label IS NOT NULL GROUP BY id, true_label""",
 )
 SOURCE_NEAREST = GRID + [
     "ends AS (SELECT source, id1 AS id, id2 AS nbr, similarity FROM grid UNION ALL SELECT source, id2, id1, similarity FROM grid)",

@@ -46,18 +46,22 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/simlattice/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends at files that outlive executors, the columns stay
     prunable and the file size tells Catalyst whether a broadcast is safe.
     """
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/simlattice/{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_remove, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

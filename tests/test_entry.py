@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["url_owner_key", "last_label", "char_jaccard", "align_union_anchor", "normalize_stats", "leader_labels", "overlap_matrix", "hausdorff_exact", "topk_report", "adjusted_rand", "symmetric_cells", "singleton_ratio", "permutation_p", "kmeans_points", "levenshtein_pairs", "hash3d_cosine"]
+CHECKED = ["url_owner_key", "last_label", "char_jaccard", "align_union_anchor", "normalize_stats", "leader_labels", "overlap_matrix", "hausdorff_exact", "topk_report", "adjusted_rand", "symmetric_cells", "singleton_ratio", "permutation_p", "kmeans_points", "levenshtein_pairs", "hash3d_cosine", "stage_statistics", "pair_files", "pair_files_rejected", "url_pair_files", "wide_matrix", "positional_matrix", "entity_list", "label_file", "vector_file", "loaded_sources", "cached_sources", "appended_results", "saved_runs", "saved_clusters", "saved_overlap", "saved_cluster_info"]
 
 
 @pytest.fixture(scope="module")
