@@ -15,7 +15,8 @@ source by source, so no source is sorted in one task. DataFrame functions only.
 Defined cases: a null text has size 0; null sources are one source, the last;
 rows that repeat a ``doc_id`` within a source are taken or left together; a
 source of size 0 has the target 0; other columns are kept by ``mix`` unless
-they bear a name of its results; an empty table gives no rows.
+they bear a name of its results, and all by ``repeated``; no name of an input
+column clashes with inner ones; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from simlattice.runtime import cut, lookup, numbered, running_totals
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 HOT_PART = 1000
 _KEYS = ["_none", "_name"]
+RESULTS = ["size", "source_size", "target", "repeats"]
 
 
 def n_words(text: Column) -> Column:
@@ -87,21 +89,30 @@ def seeded(key: Column, seed: str) -> Column:
     return F.concat(F.md5(F.concat(F.lit(seed + ":"), text)), text)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``size, source_size, target, repeats``: how often the mix takes each document."""
-    docs = docs.drop(*(c for c in ("size", "source_size", "target", "repeats") if c not in (key, text, source)))
-    keyed = docs.withColumns({"size": n_words(F.col(text)), "_none": F.col(source).isNull(), "_name": F.coalesce(F.col(source).cast("string"), F.lit(""))})
-    sized = cut(keyed.select(*_KEYS, F.col(key).alias("doc_id"), "size"))
+def _mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, dict]:
+    """``RESULTS`` beside the columns of ``docs``, which bear the names ``c0, c1, ...`` of the second result."""
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*place.values())
+    name = F.col(place[source])
+    keyed = own.withColumns({"size": n_words(F.col(place[text])), "_none": name.isNull(), "_name": F.coalesce(name.cast("string"), F.lit(""))})
+    sized = cut(keyed.select(*_KEYS, F.col(place[key]).alias("doc_id"), "size"))
     sources = plan(sized, weights, share, max_epochs, seed)
-    extra = F.when(seeded(F.col(key), seed) <= F.col("last"), 1).otherwise(0)
+    extra = F.when(seeded(F.col(place[key]), seed) <= F.col("last"), 1).otherwise(0)
     found = _per_source(keyed, sources, sources)
-    return found.withColumn("repeats", F.col("whole") + extra).drop("whole", "last", *_KEYS)
+    return found.withColumn("repeats", F.col("whole") + extra).drop("whole", "last", *_KEYS), place
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with ``size, source_size, target, repeats``: how often the mix takes each document. ``how``: see ``_mixed``."""
+    rows, place = _mixed(docs, **how)
+    return rows.select(*(F.col(at).alias(c) for c, at in place.items() if c.lower() not in RESULTS), *RESULTS)
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    rows = mix(docs, **how).filter("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
-    return rows.select(*docs.columns)
+    rows, place = _mixed(docs, **how)
+    copies = rows.filter("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return copies.select(*(F.col(at).alias(c) for c, at in place.items()))
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,6 @@ from simlattice.llm.words import buffers, chunks, mix, span_hashes
 from simlattice.runtime import cut
 
 SAMPLE = 5000
-LEXICON = 4000
 STEMS = (4, 5, 6)
 
 # Second-person words of the languages at hand, and the letters that digits and symbols replace.
@@ -211,7 +210,11 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
 
 
 def mine(rows: DataFrame, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lexicon words and beginnings from ``text, y``: in half a percent of the toxic texts at least, and nearly only there."""
+    """Lexicon words and beginnings from ``text, y``: in half a percent of the toxic texts at least, and nearly only there.
+
+    That share bounds their number: by 200 times the mean of distinct words and
+    beginnings in the toxic texts of the sample.
+    """
 
     def run(batches):
         for batch in batches:
@@ -229,7 +232,7 @@ def mine(rows: DataFrame, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
 
     least = max(2, n_toxic // 200)
     counts = rows.select("text", "y").mapInArrow(run, "h long, stem int, toxic long, docs long").groupBy("h", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
-    found = counts.filter((F.col("toxic") >= least) & (F.col("toxic") * 20 >= F.col("docs") * 19)).orderBy(F.desc("toxic"), "h", "stem").limit(LEXICON).collect()
+    found = counts.filter((F.col("toxic") >= least) & (F.col("toxic") * 20 >= F.col("docs") * 19)).collect()
     return tuple(np.sort(np.array([r["h"] for r in found if r["stem"] == s], np.int64).view(np.uint64)) for s in (0, 1))
 
 

@@ -382,7 +382,7 @@ def test_cotraining(spark):
 def test_cotraining_samples_labels_of_the_documents(spark, monkeypatch):
     monkeypatch.setattr(cotrain, "SAMPLE", 40)
     drawn = []
-    monkeypatch.setattr(cotrain, "co_train", lambda views, y, pools: drawn.append((len(y), set(y), len(pools[0]))))
+    monkeypatch.setattr(cotrain, "co_train", lambda views, y, free: drawn.append((len(y), set(y), free.count())))
     docs = spark.createDataFrame(rows_of([f"{w} {i}" for i, w in enumerate(WORDS * 5)]), DOCS).filter("doc_id < 50")
     docs = docs.unionByName(docs.filter("doc_id < 3"))
     labels = spark.createDataFrame([(i, i % 2) for i in [*range(45), *range(100, 5100)]], "doc_id long, quality int")
@@ -392,6 +392,47 @@ def test_cotraining_samples_labels_of_the_documents(spark, monkeypatch):
         assert cotrain.fit(docs, labels.filter("doc_id >= 100 or quality = 1")) is None
 
 
+def test_cotraining_views_teach_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = (rng.random(6000) < 0.5).astype(float)
+    one, two = (rng.standard_normal((6000, 40)) + np.where(np.arange(40) < 6, 0.9, 0) * (2 * y[:, None] - 1) for _ in range(2))
+    known, free, test = slice(0, 150), slice(150, 4000), slice(4000, 6000)
+    table = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(one[free], two[free])], "one array<double>, two array<double>")
+
+    def accuracy():
+        found = cotrain.co_train([one[known], two[known]], y[known], table)
+        return [((m.raw(v[test]) >= 0) == y[test]).mean() for m, v in zip(found["views"], (one, two))], found["given"]
+
+    taught, given = accuracy()
+    assert all(sum(n for (taker, _), n in r.items() if taker == t) > 500 for r in given for t in (0, 1))
+    monkeypatch.setattr(cotrain, "ROUNDS", 0)
+    alone, none = accuracy()
+    assert none == [] and min(np.array(taught) - np.array(alone)) > 0.01
+
+
+def test_cotraining_gates():
+    y = np.array([1.0] * 40 + [0.0] * 60)
+    high, low = cotrain.gates(np.r_[np.full(40, 2.0), np.full(60, -1.0)], y)
+    assert (high, low) == (2.0, -1.0)
+    assert cotrain.gates(np.zeros(4), np.array([0.0, 1, 0, 1])) == (np.inf, -np.inf)
+    views = [cotrain.View(), cotrain.View()]
+    for v in views:
+        v.mean, v.scale, v.weights = 0.0, 1.0, np.array([1.0, 0.0])
+    said = cotrain.claimed(views, [(1, -1), (1, -1)], [np.array([[2.0], [2.0], [0.0]]), np.array([[2.0], [-2.0], [-2.0]])])
+    assert [s.tolist() for s in said] == [[1, -1, -1], [1, -1, 0]]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"a b {i}", "x" if i % 3 else None, 7, 8, 9, 10) for i in range(12)], "doc_id long, text string, source string, _none int, _name int, size int, target int")
+    plain = {r.doc_id: r for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    for r in mixing.mix(docs).collect():
+        assert (r._none, r._name, r.size, r.target, r.repeats) == (7, 8, 3, plain[r.doc_id].target, plain[r.doc_id].repeats)
+    copies = mixing.repeated(docs)
+    assert copies.columns == docs.columns
+    assert {(r._none, r._name, r.size, r.target) for r in copies.collect()} == {(7, 8, 9, 10)}
+    assert copies.count() == sum(r.repeats for r in plain.values())
+
+
 def test_models_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(15)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
