@@ -196,6 +196,33 @@ def test_hausdorff(sources, block, monkeypatch):
         assert got[a, b] == pytest.approx(best)
 
 
+@pytest.mark.parametrize("block", [None, 2])
+def test_hausdorff_copies_rows_per_part(spark, sources, block, monkeypatch):
+    normal = normalize(sources[2])[0]
+    expected = sorted(map(tuple, compare.hausdorff(normal, block_size=block, task_cells=10**9).collect()))
+    copies, plain = spark.sparkContext.accumulator(0), compare._row_minima
+
+    def counted(*options):
+        work = plain(*options)
+
+        def count(key, group):
+            copies.add(group.num_rows)
+            return work(key, group)
+
+        return count
+
+    monkeypatch.setattr(compare, "_row_minima", counted)
+    monkeypatch.setattr(compare, "PARTS", 3)
+    got = sorted(map(tuple, compare.hausdorff(normal, block_size=block).collect()))
+    n, names = len(sources[0]), len(normal.sources)
+    assert copies.value <= (3 + 1) * n * names  # not a copy for every block
+    monkeypatch.setattr(compare, "PARTS", 1)
+    several = sorted(map(tuple, compare.hausdorff(normal, block_size=block, task_cells=40).collect()))
+    for rows in (got, several):
+        assert [r[:2] for r in rows] == [r[:2] for r in expected]
+        assert [r[2] for r in rows] == pytest.approx([r[2] for r in expected])
+
+
 def test_hausdorff_of_values(sources):
     ids, dense, aligned = sources
     got = {(r["source1"], r["source2"]): r["gromov"] for r in compare.hausdorff_values(aligned).collect()}
