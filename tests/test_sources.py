@@ -287,6 +287,23 @@ def test_permutations_equal_plain_ones(sources, monkeypatch, block, work, span):
             assert test[a, b] == (pytest.approx(rho), pytest.approx(min(1, 2 * (tail + 1) / 8)))
 
 
+def test_permutation_rows_are_not_copied_for_resamples(spark, monkeypatch):
+    """A task does all resamples of its rows: as many tasks for 4 as for 1100."""
+    tasks, plain = spark.sparkContext.accumulator(0), permute._finder
+
+    def counted(at):
+        tasks.add(1)
+        return plain(at)
+
+    monkeypatch.setattr(permute, "_finder", counted)
+    rows = spark.range(20_000).select(F.lit("all").alias("name"), F.col("id").alias("cell"), F.array(F.lit(1.0)).alias("u"), F.array(F.lit(2.0)).alias("v"))
+    for resamples in (4, 1100):
+        tasks.value = 0
+        got = permute.permuted_products(rows, {"all": (*permute.grid(20_000), 20_000)}, 1, resamples, 42).collect()
+        assert len(got) == resamples and all(r["sums"] == [40_000.0] for r in got)
+        assert tasks.value == permute.TASKS
+
+
 def test_moves_are_permutations():
     for size in (1, 2, 3, 10, 97, 780):
         for a, b in {permute.grid(size)} | ({permute.triangle_grid(40)} if size == 780 else set()):
