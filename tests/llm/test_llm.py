@@ -474,5 +474,5 @@ def test_pipeline_stages(spark):
 
 
 def test_registration():
-    assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES}) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES) and "pipeline" in entry.queries()
