@@ -24,11 +24,14 @@ HUB_ROWS = 200_000
 class Combined(NamedTuple):
     """``vectors(combo, id1, id2, dists, d)`` of the pairs stored in a source of the combo.
 
+    ``wide(id1, id2, d0, d1, ...)`` has one row per pair and the lengths in the
+    order of ``combos``, null where the combo stores nothing.
     All other pairs lie at ``background[combo]``; ``stats`` covers every pair.
     ``hubs(combo, id)`` are the entities with very many stored pairs, if any.
     """
 
     vectors: DataFrame
+    wide: DataFrame
     ids: DataFrame
     n: int
     combos: dict[str, tuple[str, ...]]
@@ -59,8 +62,9 @@ def combine_distances(
 ) -> Combined:
     """Vector distance per combination and pair.
 
-    The pairs are brought together once, with one column per source; all
-    combinations are then rows of the same projection, without another shuffle.
+    The pairs are brought together once and written with one column per source
+    and one per combination; the rows of the combinations are read from there,
+    so no table holds a pair once for every combination.
     ``digits`` rounds the length so that threshold comparisons are stable.
     """
     unknown = {s for c in combos.values() for s in c} - set(distances.sources)
@@ -77,21 +81,20 @@ def combine_distances(
         d = vector_distance(values, [weights.get(s, 1.0) for s in c] if weights else None)
         return d if digits is None else rounded_distance(d, digits)
 
-    entries = []
-    for name, c in combos.items():
+    lengths = []
+    for k, c in enumerate(combos.values()):
         any_stored = stored[c[0]]
         for s in c[1:]:
             any_stored = any_stored | stored[s]
-        entry = F.struct(
-            F.lit(name).alias("combo"),
-            F.array(*[column[s] for s in c]).alias("dists"),
-            length([column[s] for s in c], c).alias("d"),
-        )
-        entries.append(F.when(any_stored, entry))
-    vectors = cut(
-        wide.select("id1", "id2", F.explode(F.array(*entries)).alias("e"))
-        .filter(F.col("e").isNotNull())
-        .select("e.combo", "id1", "id2", "e.dists", "e.d")
+        lengths.append(F.when(any_stored, length([column[s] for s in c], c)).alias(f"d{k}"))
+    wide = cut(wide.select("id1", "id2", *[f"_{i}" for i in range(len(used))], *lengths))
+    dists = F.lit(None).cast("array<double>")
+    for name, c in combos.items():
+        dists = F.when(F.col("combo") == name, F.array(*[column[s] for s in c])).otherwise(dists)
+    vectors = (
+        wide.unpivot(["id1", "id2", *[f"_{i}" for i in range(len(used))]], [F.col(f"d{k}").alias(name) for k, name in enumerate(combos)], "combo", "d")
+        .filter(F.col("d").isNotNull())
+        .select("combo", "id1", "id2", dists.alias("dists"), "d")
     )
 
     background = {}
@@ -118,7 +121,7 @@ def combine_distances(
     if distances.n > hub_rows:
         degrees = mirrored(vectors, "combo").groupBy("combo", "id").agg(F.count("*").alias("stored"))
         hubs = hot_or_none(degrees, "stored", hub_rows)
-    return Combined(vectors, distances.ids, distances.n, dict(combos), background, counts, stats, hubs)
+    return Combined(vectors, wide.select("id1", "id2", *[f"d{k}" for k in range(len(combos))]), distances.ids, distances.n, dict(combos), background, counts, stats, hubs)
 
 
 def combo_stats(combined: Combined) -> DataFrame:
