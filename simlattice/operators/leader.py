@@ -6,8 +6,9 @@ leaders are the greedy maximal independent set of the graph ``d <= t1``, which
 is found in few rounds: an entity leads as soon as no undecided earlier entity
 is near it (Blelloch, Fineman and Shun, SPAA 2012).
 
-The thresholds of a combination are one bit mask per entity, so a round reads
-each stored pair once, not once per threshold.
+The thresholds of a combination are one bit mask per entity and an entity is
+one row with the masks of all combinations, so a round reads each stored pair
+once, not once per threshold and combination.
 """
 
 from __future__ import annotations
@@ -36,12 +37,33 @@ def visit_key(id: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(id.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
-def _with_first_step(vectors: DataFrame, ranges: dict[str, list[float]]) -> DataFrame:
-    """Add ``from_step``, the first step whose threshold reaches ``d``."""
-    steps = max(len(t) for t in ranges.values())
-    table = vectors.sparkSession.createDataFrame(list(ranges.items()), "combo string, t1s array<double>")
-    below = [(F.col("t1s")[i] < F.col("d")).cast("int") for i in range(steps)]
-    return vectors.join(F.broadcast(table), "combo").withColumn("from_step", sum(below[1:], below[0])).drop("t1s")
+def _with_steps(pairs: DataFrame, ranges: list[tuple[int, list[float]]]) -> DataFrame:
+    """``(early, late, steps)`` of ``(early, late, d0, d1, ...)``.
+
+    ``steps[k]`` is the first step of the ``k``-th range whose threshold reaches
+    the length in its column, -1 where there is no length.
+    """
+    kinds = pairs.schema
+    schema = f"early {kinds['early'].dataType.simpleString()}, late {kinds['late'].dataType.simpleString()}, steps array<tinyint>"
+
+    def steps(batches):
+        for batch in batches:
+            found = np.full((batch.num_rows, len(ranges)), -1, np.int8)
+            for k, (at, thresholds) in enumerate(ranges):
+                d = batch.column(f"d{at}")
+                here = np.flatnonzero(d.is_valid().to_numpy(zero_copy_only=False))
+                found[here, k] = np.searchsorted(thresholds, d.drop_null().to_numpy(zero_copy_only=False))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(ranges))
+            lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("early"), batch.column("late"), lists], ["early", "late", "steps"])
+
+    return pairs.mapInArrow(steps, schema)
+
+
+def _edges_of(pairs: DataFrame, at: dict[str, int]) -> DataFrame:
+    """Stored pairs ``(combo, early, late, from_step)`` of the combinations ``at`` these places of ``steps``."""
+    rows = pairs.unpivot(["early", "late"], [F.col("steps")[k].alias(c) for c, k in at.items()], "combo", "from_step")
+    return rows.filter("from_step >= 0").withColumn("from_step", F.col("from_step").cast("int"))
 
 
 def _steps_of(mask: Column, steps: int) -> Column:
@@ -71,36 +93,29 @@ def _masked_clusters(combined: Combined, ranges: dict[str, list[float]], seed: i
     ahead = F.struct(visit_key(F.col("id1"), seed).alias("key"), F.col("id1").alias("id")) < F.struct(
         visit_key(F.col("id2"), seed).alias("key"), F.col("id2").alias("id")
     )
-    edges = cut(
-        _with_first_step(combined.vectors, ranges).select(
-            "combo",
-            F.when(ahead, F.col("id1")).otherwise(F.col("id2")).alias("early"),
-            F.when(ahead, F.col("id2")).otherwise(F.col("id1")).alias("late"),
-            "from_step",
-        )
+    place = {c: k for k, c in enumerate(combined.combos)}
+    ordered = combined.wide.select(
+        F.when(ahead, F.col("id1")).otherwise(F.col("id2")).alias("early"), F.when(ahead, F.col("id2")).otherwise(F.col("id1")).alias("late"),
+        *[F.col(f"d{place[c]}") for c in ranges],
     )
+    pairs = cut(_with_steps(ordered, [(place[c], ts) for c, ts in ranges.items()]))
+    at = {c: k for k, c in enumerate(ranges)}
     combo_rows = combined.ids.select("id", F.explode(F.array(*[F.lit(c) for c in ranges])).alias("combo"))
-    held = {r["combo"]: r["count"] for r in edges.groupBy("combo").count().collect()}
-    small = [c for c in ranges if max(combined.n, held.get(c, 0)) <= LOCAL_ROWS]
+    small = [c for c in ranges if max(combined.n, combined.stored[c]) <= LOCAL_ROWS]
     parts = []
     if small:
-        parts.append(_local_clusters(combo_rows.filter(F.col("combo").isin(small)), edges.filter(F.col("combo").isin(small)), {c: len(ranges[c]) for c in small}, wide_from, seed))
-    large = [c for c in ranges if c not in small]
+        parts.append(_local_clusters(combo_rows.filter(F.col("combo").isin(small)), _edges_of(pairs, {c: at[c] for c in small}), {c: len(ranges[c]) for c in small}, wide_from, seed))
+    large = {c: k for c, k in at.items() if c not in small}
     if large:
-        combo_rows, edges = (rows.filter(F.col("combo").isin(large)) for rows in (combo_rows, edges))
-        near = edges.withColumn("bits", F.call_function("shiftleft", F.lit(full), F.col("from_step")).bitwiseAND(F.lit(full)))
-        near = near.filter("bits != 0")
-        nodes = cut(
-            combo_rows.select(
-                "combo", "id", choose(narrow_mask, F.col("combo"), "long").alias("open"), F.lit(0).cast("long").alias("leads")
-            )
-        )
-        hubs = combined.hubs and combined.hubs.select("combo", F.col("id").alias("early"))
-        nodes = _elect(nodes, near, hubs)
-        parts.append(_members(nodes, near, hubs, steps, seed))
+        combo_rows = combo_rows.filter(F.col("combo").isin(*large))
+        masks = [choose(narrow_mask, F.lit(c), "long").alias(f"open{k}") for c, k in large.items()]
+        nodes = cut(combined.ids.select("id", *masks, *[F.lit(0).cast("long").alias(f"leads{k}") for k in large.values()]))
+        hubs = combined.hubs and cut(combined.hubs.select(F.col("id").alias("early")).distinct())
+        nodes = _elect(nodes, pairs, hubs, list(large.values()), full)
+        parts.append(_members(nodes, pairs, hubs, large, steps, full, seed))
         wide = {c: s for c, s in wide_from.items() if s < steps and c in large}
         if wide:
-            parts.append(_wide_clusters(combo_rows, edges, wide, steps, seed))
+            parts.append(_wide_clusters(combo_rows, pairs, {c: at[c] for c in wide}, wide, steps, seed))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -151,53 +166,71 @@ def _visited(n: int, a: np.ndarray, b: np.ndarray, first: np.ndarray, step: int,
     return leader
 
 
-def _elect(nodes: DataFrame, near: DataFrame, hubs: DataFrame | None) -> DataFrame:
-    """Rounds until every entity is decided; ``leads`` holds the steps it leads."""
+def _near(k: int, full: int, mask: str) -> Column:
+    """Steps of ``mask`` at which a pair is near in the ``k``-th combination."""
+    first = F.col("steps")[k].cast("int")
+    bits = F.call_function("shiftleft", F.lit(full).cast("long"), first).bitwiseAND(F.lit(full).cast("long"))
+    return F.when(first >= 0, bits.bitwiseAND(F.col(mask))).otherwise(F.lit(0).cast("long"))
 
-    def reached(mask: str, among: DataFrame, name: str) -> DataFrame:
-        ends = among.filter(F.col(mask) != 0).select("combo", F.col("id").alias("early"), mask)
-        bits = F.col("bits").bitwiseAND(F.col(mask))
-        found = lookup(near, ends, ["combo", "early"], hubs).select("combo", F.col("late").alias("id"), bits.alias(name)).filter(F.col(name) != 0)
-        return found.groupBy("combo", "id").agg(F.bit_or(name).alias(name))
+
+def _any(names: list[str]) -> Column:
+    return reduce(Column.__or__, [F.col(n) != 0 for n in names])
+
+
+def _elect(nodes: DataFrame, pairs: DataFrame, hubs: DataFrame | None, at: list[int], full: int) -> DataFrame:
+    """Rounds until every entity is decided; ``leads`` holds the steps it leads.
+
+    A row of ``nodes`` holds the masks of an entity in all combinations ``at``
+    their places, so a round moves a pair once for all of them.
+    """
+    opens, leads = [f"open{k}" for k in at], [f"leads{k}" for k in at]
+
+    def reached(among: DataFrame, mask: str, name: str) -> DataFrame:
+        ends = among.filter(_any([f"{mask}{k}" for k in at])).select(F.col("id").alias("early"), *[f"{mask}{k}" for k in at])
+        names = [f"{name}{k}" for k in at]
+        found = lookup(pairs, ends, ["early"], hubs).select(F.col("late").alias("id"), *[_near(k, full, f"{mask}{k}").alias(n) for k, n in zip(at, names)])
+        return found.filter(_any(names)).groupBy("id").agg(*[F.bit_or(n).alias(n) for n in names])
 
     def less(a: Column, b: str) -> Column:
         return a.bitwiseAND(F.bitwise_not(F.coalesce(F.col(b), F.lit(0).cast("long"))))
 
-    while nodes.filter("open != 0").limit(1).count():
-        blocked = reached("open", nodes, "blocked")
+    while nodes.filter(_any(opens)).limit(1).count():
+        blocked = reached(nodes, "open", "blocked")
         chosen = cut(
-            nodes.join(blocked, ["combo", "id"], "left").select(
-                "combo", "id", "open", "leads", less(F.col("open"), "blocked").alias("new")
-            )
+            nodes.join(blocked, "id", "left").select("id", *opens, *leads, *[less(F.col(f"open{k}"), f"blocked{k}").alias(f"new{k}") for k in at])
         )
-        covered = reached("new", chosen, "covered")
+        covered = reached(chosen, "new", "covered")
         nodes = cut(
-            chosen.join(covered, ["combo", "id"], "left").select(
-                "combo",
+            chosen.join(covered, "id", "left").select(
                 "id",
-                less(less(F.col("open"), "new"), "covered").alias("open"),
-                F.col("leads").bitwiseOR(F.col("new")).alias("leads"),
+                *[less(less(F.col(f"open{k}"), f"new{k}"), f"covered{k}").alias(f"open{k}") for k in at],
+                *[F.col(f"leads{k}").bitwiseOR(F.col(f"new{k}")).alias(f"leads{k}") for k in at],
             )
         )
     return nodes
 
 
-def _members(nodes: DataFrame, near: DataFrame, hubs: DataFrame | None, steps: int, seed: int) -> DataFrame:
+def _members(nodes: DataFrame, pairs: DataFrame, hubs: DataFrame | None, at: dict[str, int], steps: int, full: int, seed: int) -> DataFrame:
     """Every entity with the earliest leader near it, leaders with themselves."""
-    leaders = nodes.filter("leads != 0").select("combo", "id", "leads")
+    names = [f"leads{k}" for k in at.values()]
+    leaders = nodes.filter(_any(names)).select("id", *names)
+    by = F.struct(visit_key(F.col("early"), seed).alias("key"), F.col("early").alias("leader"))
+    found = lookup(pairs, leaders.withColumnRenamed("id", "early"), ["early"], hubs).select(
+        F.col("late").alias("id"), "early", *[_near(k, full, f"leads{k}").alias(f"bits{k}") for k in at.values()]
+    )
     taken = (
-        lookup(near, leaders.select("combo", F.col("id").alias("early"), "leads"), ["combo", "early"], hubs)
-        .withColumn("bits", F.col("bits").bitwiseAND(F.col("leads")))
-        .filter("bits != 0")
-        .select("combo", F.col("late").alias("id"), F.struct(visit_key(F.col("early"), seed).alias("key"), F.col("early").alias("leader")).alias("by"), F.explode(_steps_of(F.col("bits"), steps)).alias("step"))
+        found.unpivot(["id", "early"], [F.col(f"bits{k}").alias(c) for c, k in at.items()], "combo", "bits").filter("bits != 0")
+        .withColumn("by", by).select("combo", "id", "by", F.explode(_steps_of(F.col("bits"), steps)).alias("step"))
         .groupBy("combo", "step", "id")
         .agg(F.min("by")["leader"].alias("leader"))
     )
-    own = leaders.select("combo", F.explode(_steps_of(F.col("leads"), steps)).alias("step"), "id", F.col("id").alias("leader"))
+    own = leaders.unpivot("id", [F.col(f"leads{k}").alias(c) for c, k in at.items()], "combo", "bits").filter("bits != 0").select(
+        "combo", F.explode(_steps_of(F.col("bits"), steps)).alias("step"), "id", F.col("id").alias("leader")
+    )
     return own.unionByName(taken)
 
 
-def _wide_clusters(combo_rows: DataFrame, edges: DataFrame, wide: dict[str, int], steps: int, seed: int) -> DataFrame:
+def _wide_clusters(combo_rows: DataFrame, pairs: DataFrame, at: dict[str, int], wide: dict[str, int], steps: int, seed: int) -> DataFrame:
     """Steps at which absent pairs are near: only stored far pairs keep entities apart.
 
     One leader per combination and step is the earliest open entity; what stays
@@ -206,9 +239,6 @@ def _wide_clusters(combo_rows: DataFrame, edges: DataFrame, wide: dict[str, int]
     mask = {c: ((1 << steps) - 1) ^ ((1 << s) - 1) for c, s in wide.items()}
     rows = combo_rows.filter(F.col("combo").isin(*wide))
     state = cut(rows.select("combo", "id", choose(mask, F.col("combo"), "long").alias("open")))
-    far = edges.filter(F.col("combo").isin(*wide)).withColumn(
-        "bits", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("from_step")) - 1
-    )
     done = None
     while state.filter("open != 0").limit(1).count():
         first = F.struct(visit_key(F.col("id"), seed).alias("key"), F.col("id").alias("id"))
@@ -222,6 +252,10 @@ def _wide_clusters(combo_rows: DataFrame, edges: DataFrame, wide: dict[str, int]
         leads = heads.groupBy("combo", F.col("leader").alias("early")).agg(
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("step"))).alias("leads")
         )
+        # Only the pairs of a leader are spread to their combinations.
+        far = _edges_of(pairs.join(F.broadcast(leads.select("early").distinct()), "early", "left_semi"), at).withColumn(
+            "bits", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("from_step")) - 1
+        )
         apart = (
             far.join(F.broadcast(leads), ["combo", "early"])
             .select("combo", F.col("late").alias("id"), F.col("bits").bitwiseAND(F.col("leads")).alias("apart"))

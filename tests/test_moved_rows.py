@@ -26,3 +26,19 @@ def test_a_pair_is_written_once_for_all_combinations(spark):
     combined = combine_distances(aligned, source_combinations(aligned.sources, 1, 3))
     written = spark.read.parquet(*combined.vectors.inputFiles()).count()
     assert written == aligned.pairs.select("id1", "id2").distinct().count() < combined.vectors.count()
+
+
+def test_a_round_of_clustering_moves_a_pair_once(spark, monkeypatch):
+    aligned = some_sources(spark)
+    combined = combine_distances(aligned, source_combinations(aligned.sources, 1, 3))
+    moved = []
+
+    def looked_up(rows, table, keys, hot):
+        moved.append(rows.count())
+        return plain(rows, table, keys, hot)
+
+    plain = leader.lookup
+    monkeypatch.setattr(leader, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(leader, "lookup", looked_up)
+    assert leader.leader_clusters(combined, threshold_range(combined, 4)).count() == 7 * 4 * 12
+    assert moved and max(moved) <= aligned.pairs.select("id1", "id2").distinct().count()
