@@ -42,3 +42,24 @@ def test_a_round_of_clustering_moves_a_pair_once(spark, monkeypatch):
     monkeypatch.setattr(leader, "lookup", looked_up)
     assert leader.leader_clusters(combined, threshold_range(combined, 4)).count() == 7 * 4 * 12
     assert moved and max(moved) <= aligned.pairs.select("id1", "id2").distinct().count()
+
+
+def test_ranks_are_joined_to_the_row_of_both_values(spark, monkeypatch):
+    aligned = some_sources(spark, "similarity")
+    rows = compare._nonzero_rows(aligned).count()
+    ranked = []
+
+    def joined(values, ranks):
+        ranked.append(values.count())
+        return plain(values, ranks)
+
+    plain = compare.join_ranks
+    monkeypatch.setattr(compare, "join_ranks", joined)
+    found = compare._sparse_ranks(aligned).collect()
+    assert ranked == [rows, rows] and len(found) == rows
+    values = {(r["source1"], r["source2"], r["id1"], r["id2"]): (r["a"], r["b"]) for r in compare._nonzero_rows(aligned).collect()}
+    for r in found:
+        for side in (0, 1):
+            same = [v[side] for k, v in values.items() if k[:2] == (r["source1"], r["source2"])]
+            mine = values[r["source1"], r["source2"], r["id1"], r["id2"]][side]
+            assert r["ab"[side]] == sum(v < mine for v in same) + (same.count(mine) + 1) / 2
