@@ -63,3 +63,17 @@ def test_ranks_are_joined_to_the_row_of_both_values(spark, monkeypatch):
             same = [v[side] for k, v in values.items() if k[:2] == (r["source1"], r["source2"])]
             mine = values[r["source1"], r["source2"], r["id1"], r["id2"]][side]
             assert r["ab"[side]] == sum(v < mine for v in same) + (same.count(mine) + 1) / 2
+
+
+def test_only_entities_that_lack_neighbours_are_filled(spark):
+    aligned = some_sources(spark, "similarity")
+    near = neighbors.nearest_pairs(aligned.pairs, aligned.ids, 9)
+    assert "LeftSemi" in near._jdf.queryExecution().optimizedPlan().toString()
+    held = {}
+    for r in aligned.pairs.collect():
+        for a, b in ((r["id1"], r["id2"]), (r["id2"], r["id1"])):
+            held[r["source"], a, b] = r["similarity"]
+    found = {(r["source"], r["id"], r["rank"]): r["nbr"] for r in near.collect()}
+    for s, i in itertools.product(aligned.sources, range(1, 13)):
+        order = sorted((j for j in range(1, 13) if j != i), key=lambda j: (-held.get((s, i, j), 0.0), j))
+        assert [found[s, i, k] for k in range(1, 10)] == order[:9]
