@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simlattice.operators.blocks import held, lengths_of, matrix_of, over_blocks, packed_labels, parts_of, split_blocks
 from simlattice.operators.combine import Combined
 from simlattice.operators.leader import cluster_sizes, number_clusters
 from simlattice.operators.matrix import mirrored
@@ -28,95 +29,106 @@ def silhouette(combined: Combined, clusters: DataFrame, singleton: str = "one")
     ``singleton="zero"`` scores entities alone in their cluster with 0.
 
     Only stored pairs are read. The absent ones of a cluster are copies of the
-    background distance and enter means and medians as counts. The pairs of one
-    entity are scored together for all thresholds; those of a hub are ranked over
-    many tasks instead.
+    background distance and enter means and medians as counts. The pairs of a
+    block of entities meet the labels of all combinations and thresholds in a few
+    tasks; those of a hub are ranked over many tasks instead.
     """
     if singleton not in ("one", "zero"):
         raise ValueError("singleton is 'one' or 'zero'")
     labeled = cut(number_clusters(clusters))
     counts = {(r["combo"], r["step"]): r["n"] for r in labeled.groupBy("combo", "step").agg(F.max("label").alias("n")).collect()}
     scored = {at: n for at, n in counts.items() if n >= 2}
+    spark = combined.vectors.sparkSession
     if not scored:
-        return combined.vectors.sparkSession.createDataFrame([], "combo string, step int, silhouette double, n_clusters long")
-    entry = F.struct("step", "label", F.col("size").cast("int").alias("size"))
-    packed = cut(
-        labeled.groupBy("combo", "id").agg(F.sort_array(F.collect_list(entry)).alias("at"))
-        .select("combo", "id", F.col("at.step").alias("steps"), F.col("at.label").alias("labels"), F.col("at.size").alias("sizes"))
-    )
-    pairs = mirrored(combined.vectors, "combo", "d")
-    hubs = combined.hubs
-    theirs = hubs and hubs.select("combo", F.col("id").alias("nbr"))
-    ends = packed.withColumnRenamed("id", "nbr")
-    rows, own = pairs, packed
-    if hubs is not None:
-        few = F.broadcast(hubs.select("combo", "id"))
-        rows, own = pairs.join(few, ["combo", "id"], "left_anti"), packed.join(few, ["combo", "id"], "left_anti")
-    rows = lookup(rows, ends, ["combo", "nbr"], theirs).select("combo", "id", "d", "steps", "labels", "sizes").unionByName(
-        own.select("combo", "id", F.lit(None).cast("double").alias("d"), "steps", "labels", "sizes")
-    )
-    points = rows.groupBy("combo", "id").applyInArrow(_scorer(scored, combined.background), "combo string, step int, size long, a double, b double")
-    if hubs is not None:
-        points = points.unionByName(_hub_points(combined, pairs, packed, hubs.select("combo", "id"), scored))
-    top = F.greatest("a", "b")
-    s = F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
-    if singleton == "zero":
-        s = F.when(F.col("size") == 1, 0.0).otherwise(s)
-    table = points.sparkSession.createDataFrame([(c, t, n) for (c, t), n in scored.items()], "combo string, step int, n_clusters long")
-    return points.groupBy("combo", "step").agg(F.avg(s).alias("silhouette")).join(F.broadcast(table), ["combo", "step"])
-
-
-def _scorer(scored: dict[tuple[str, int], int], background: dict[str, float]):
-    """Per entity and threshold: cluster size, ``a`` and ``b`` from its stored pairs."""
-
-    def score(group: pa.Table) -> pa.Table:
-        combo = group.column("combo")[0].as_py()
-        far = background[combo]
-        d = group.column("d").to_numpy()
-        steps = np.asarray(group.column("steps")[0].as_py())
-        labels = group.column("labels").combine_chunks().flatten().to_numpy().reshape(len(d), -1)
-        sizes = group.column("sizes").combine_chunks().flatten().to_numpy().reshape(len(d), -1)
-        me = int(np.flatnonzero(np.isnan(d))[0])
-        order = np.argsort(d, kind="stable")[:-1]  # the own row is NaN and sorts last
-        near = d[order]
-        out = {"step": [], "size": [], "a": [], "b": []}
-        for at, step in enumerate(steps.tolist()):
-            clusters = scored.get((combo, step))
-            if clusters is None:
-                continue
-            mine, size = labels[me, at], int(sizes[me, at])
-            there = labels[order, at]
-            same = there == mine
-            stored = int(same.sum())
-            a = (near[same].sum() + (size - 1 - stored) * far) / (size - 1) if size > 1 else 0.0
-            medians = _medians(near[~same], there[~same], sizes[order[~same], at], far)
-            b = medians.min() if len(medians) else far
-            if clusters - 1 > len(medians):
-                b = min(b, far)
-            for name, value in zip(("step", "size", "a", "b"), (step, size, float(a), float(b))):
-                out[name].append(value)
-        return pa.table(
-            {
-                "combo": pa.array([combo] * len(out["step"]), pa.string()),
-                "step": pa.array(out["step"], pa.int32()),
-                "size": pa.array(out["size"], pa.int64()),
-                "a": pa.array(out["a"], pa.float64()),
-                "b": pa.array(out["b"], pa.float64()),
-            }
-        )
-
-    return score
-
-
-def _medians(d: np.ndarray, label: np.ndarray, size: np.ndarray, far: float) -> np.ndarray:
-    """Median per label of ascending ``d`` filled up to ``size`` with ``far``."""
-    if not len(d):
-        return d
-    by_label = np.argsort(label, kind="stable")
-    d, label, size = d[by_label], label[by_label], size[by_label].astype(np.int64)
-    start = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        return spark.createDataFrame([], "combo string, step int, silhouette double, n_clusters long")
+    blocks = split_blocks(combined)
+    parts, places = parts_of(sorted(scored))
+    places = spark.createDataFrame(places, "combo string, step int, part int, at int")
+    values = labeled.select("combo", "step", "id", "label", F.col("size").cast("int").alias("size"))
+    packed = packed_labels(values, places, ["combo", "step"], ["label", "size"], parts)
+    task = _scorer(scored, combined.background, {c: f"d{k}" for k, c in enumerate(combined.combos)}, singleton)
+    sums = over_blocks(combined, blocks, packed, parts, task, "combo string, step int, total double, n long")
+    if blocks.hubs is not None:
+        points = _hub_points(combined, labeled, blocks.hubs, scored)
+        top = F.greatest("a", "b")
+        s = F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
+        if singleton == "zero":
+            s = F.when(F.col("size") == 1, 0.0).otherwise(s)
+        sums = sums.unionByName(points.groupBy("combo", "step").agg(F.sum(s).alias("total"), F.count("*").alias("n")))
+    table = spark.createDataFrame([(c, t, n) for (c, t), n in scored.items()], "combo string, step int, n_clusters long")
+    means = sums.groupBy("combo", "step").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+    return means.join(F.broadcast(table), ["combo", "step"])
+
+
+def _scorer(scored: dict[tuple[str, int], int], background: dict[str, float], column: dict[str, str], singleton: str):
+    """Tasks that sum the scores of the members of a block, for every clustering of a part."""
+
+    def task(part: list[tuple]):
+        def score(pairs: pa.Table, ends: pa.Table) -> pa.Table:
+            at = held(pairs, ends)
+            labels, sizes = (matrix_of(ends, c, len(part)) for c in ("label", "size"))
+            out = {"combo": [], "step": [], "total": [], "n": []}
+            for combo in dict.fromkeys(c for c, _ in part):
+                i, j, d = lengths_of(pairs, at, column[combo])
+                for k, (c, step) in enumerate(part):
+                    if c != combo:
+                        continue
+                    mine, size = labels[at.own, k], sizes[at.own, k].astype(np.int64)
+                    a, b = _means_and_medians(i, d, labels[j, k], sizes[j, k], mine, size, scored[c, step], background[combo])
+                    top = np.maximum(a, b)
+                    s = np.divide(b - a, top, out=np.zeros(len(top)), where=top > 0)
+                    if singleton == "zero":
+                        s[size == 1] = 0.0
+                    for name, value in zip(out, (combo, step, float(s.sum()), int((size > 0).sum()))):
+                        out[name].append(value)
+            return pa.table(
+                {
+                    "combo": pa.array(out["combo"], pa.string()),
+                    "step": pa.array(out["step"], pa.int32()),
+                    "total": pa.array(out["total"], pa.float64()),
+                    "n": pa.array(out["n"], pa.int64()),
+                }
+            )
+
+        return score
+
+    return task
+
+
+def _means_and_medians(
+    i: np.ndarray, d: np.ndarray, label: np.ndarray, members: np.ndarray, mine: np.ndarray, size: np.ndarray, clusters: int, far: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """``a`` and ``b`` of every member of a block from its stored pairs by member ``i`` and length ``d``.
+
+    ``label`` and ``members`` are the cluster at the other end and its size. A
+    cluster of one entity is its own median; only the others are sorted.
+    """
+    n = len(mine)
+    same = label == mine[i]
+    stored = np.bincount(i[same], minlength=n)
+    a = (np.bincount(i[same], d[same], n) + (size - 1 - stored) * far) / np.maximum(size - 1, 1)
+    a[size <= 1] = 0.0
+    b, seen = np.full(n, np.inf), np.zeros(n, np.int64)
+    alone = np.flatnonzero(~same & (members == 1))
+    who = i[alone]
+    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else alone
+    b[who[first]] = d[alone[first]]
+    seen += np.bincount(who, minlength=n)
+    rows = np.flatnonzero(~same & (members > 1))
+    if len(rows):
+        # Sorted by label and place, so by label, member and length.
+        rows = np.sort((label[rows].astype(np.int64) << 32) | rows) & 0xFFFFFFFF
+        who, at = i[rows], label[rows]
+        start = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (at[1:] != at[:-1])])
+        who = who[start]
+        np.minimum.at(b, who, _medians(d[rows], start, members[rows[start]].astype(np.int64), far))
+        seen += np.bincount(who, minlength=n)
+    return a, np.where(clusters - 1 > seen, np.minimum(b, far), b)
+
+
+def _medians(d: np.ndarray, start: np.ndarray, size: np.ndarray, far: float) -> np.ndarray:
+    """Median of every run of ascending ``d`` filled up to ``size`` with ``far``."""
     count = np.diff(np.r_[start, len(d)])
-    size = size[start]
     missing = size - count
     below = np.add.reduceat((d <= far).astype(np.int64), start)
 
@@ -128,9 +140,17 @@ def _medians(d: np.ndarray, label: np.ndarray, size: np.ndarray, far: float) ->
     return (at((size - 1) // 2) + at(size // 2)) / 2
 
 
-def _hub_points(combined: Combined, pairs: DataFrame, packed: DataFrame, hubs: DataFrame, scored: dict) -> DataFrame:
-    """The same for entities with very many stored pairs, whose ranks span tasks."""
-    spark = packed.sparkSession
+def _hub_points(combined: Combined, labeled: DataFrame, ids: DataFrame, scored: dict) -> DataFrame:
+    """The same for the hubs ``ids``, entities with very many stored pairs, whose ranks span tasks."""
+    spark = labeled.sparkSession
+    combos = sorted({c for c, _ in scored})
+    hubs = ids.select("id", F.explode(F.array(*[F.lit(c) for c in combos])).alias("combo")).select("combo", "id")
+    entry = F.struct("step", "label", F.col("size").cast("int").alias("size"))
+    packed = cut(
+        labeled.groupBy("combo", "id").agg(F.sort_array(F.collect_list(entry)).alias("at"))
+        .select("combo", "id", F.col("at.step").alias("steps"), F.col("at.label").alias("labels"), F.col("at.size").alias("sizes"))
+    )
+    pairs = mirrored(combined.vectors, "combo", "d")
     far = choose(combined.background, F.col("combo"))
     table = F.broadcast(spark.createDataFrame([(c, t, n) for (c, t), n in scored.items()], "combo string, step int, n_clusters long"))
     mine = packed.join(F.broadcast(hubs), ["combo", "id"], "left_semi")

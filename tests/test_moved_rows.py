@@ -1,8 +1,11 @@
 """Rows that are written or moved by the steps several queries share."""
 
 import itertools
+import math
 
-from simlattice.operators import compare, leader, neighbors
+import brute
+import pytest
+from simlattice.operators import blocks, compare, leader, neighbors, silhouette
 from simlattice.operators.align import Aligned
 from simlattice.operators.combine import combine_distances, source_combinations, threshold_range
 
@@ -77,3 +80,41 @@ def test_only_entities_that_lack_neighbours_are_filled(spark):
     for s, i in itertools.product(aligned.sources, range(1, 13)):
         order = sorted((j for j in range(1, 13) if j != i), key=lambda j: (-held.get((s, i, j), 0.0), j))
         assert [found[s, i, k] for k in range(1, 10)] == order[:9]
+
+
+def lengths(aligned, combo):
+    """All lengths of a combination, both ways, from the sources' rows."""
+    held = {(r["source"], r["id1"], r["id2"]): r["distance"] for r in aligned.pairs.collect()}
+    out = {}
+    for a, b in itertools.combinations(range(1, aligned.n + 1), 2):
+        out[a, b] = out[b, a] = round(math.sqrt(sum(held.get((s, a, b), VALUES[s]) ** 2 for s in combo)), 8)
+    return out
+
+
+@pytest.mark.parametrize("hub_rows", [10**6, 10])
+def test_labels_of_an_entity_are_moved_once_per_block(spark, monkeypatch, hub_rows):
+    aligned = some_sources(spark, n=16)
+    combined = combine_distances(aligned, source_combinations(aligned.sources, 1, 3), hub_rows=hub_rows)
+    clusters = leader.leader_clusters(combined, threshold_range(combined, 4)).cache()
+    moved = []
+
+    def counted(combined, split, labels, parts, *rest):
+        moved.append((split.members.select("block").distinct().count(), split.ends.join(labels, "id").count(), len(parts)))
+        return plain(combined, split, labels, parts, *rest)
+
+    plain = silhouette.over_blocks
+    monkeypatch.setattr(silhouette, "over_blocks", counted)
+    for limit, value in (("LOW_ROWS", 40), ("HIGH_ROWS", 60), ("PART_LABELS", 9)):
+        monkeypatch.setattr(blocks, limit, value)
+    scores = {(r["combo"], r["step"]): r["silhouette"] for r in silhouette.silhouette(combined, clusters).collect()}
+    ((n, rows, parts),) = moved
+    assert parts == math.ceil(len(scores) / 9) > 1 and rows <= n * parts * 16 < 2 * combined.vectors.count()
+    taken = {}
+    for r in clusters.collect():
+        taken.setdefault((r["combo"], r["step"]), {})[r["id"]] = r["leader"]
+    wanted = {k: v for k, v in taken.items() if len(set(v.values())) > 1}
+    assert scores.keys() == wanted.keys()
+    if hub_rows > 100:
+        assert n > 1
+    for (c, step), v in wanted.items():
+        assert scores[c, step] == pytest.approx(brute.silhouette(list(range(1, 17)), lengths(aligned, combined.combos[c]), v), abs=1e-9)
