@@ -83,6 +83,8 @@ def over_blocks(
     It gets tables ``(block, id, nbr, d0, ...)`` with the lengths of ``combined``
     and ``(block, id, own, ...)`` with the labels.
     """
+    if not parts:
+        return labels.sparkSession.createDataFrame([], schema)
     place = {c: k for k, c in enumerate(combined.combos)}
     found = []
     for p, part in enumerate(parts):

@@ -49,9 +49,22 @@ def overlap_mapping(combined: Combined, labels: DataFrame, pairs: list[tuple[str
     same = their_medoids.join(base_medoids, (their_medoids["combo"] == base_medoids["combo"]) & (F.col("medoid_c") == F.col("medoid_a"))).select(
         their_medoids["combo"], "other", "leader_c", F.lit(0.0).alias("d"), "ord", "leader_a"
     )
+    # A pair is moved once for all combinations, with those that have a medoid at its ends.
+    place = {c: k for k, c in enumerate(combined.combos)}
+    k = choose(place, F.col("combo"), "int")
+    ends = {
+        "nbr": base_medoids.groupBy(F.col("medoid_a").alias("nbr")).agg(F.collect_set(k).alias("to")),
+        "id": their_medoids.groupBy(F.col("medoid_c").alias("id")).agg(F.collect_set(k).alias("from")),
+    }
+    lengths = F.array(*[f"d{k}" for k in place.values()])
+    between = (
+        mirrored(combined.wide, *[f"d{k}" for k in place.values()]).join(ends["nbr"], "nbr").join(ends["id"], "id")
+        .select("id", "nbr", lengths.alias("lengths"), F.explode(F.array_intersect("from", "to")).alias("at"))
+        .select("id", "nbr", F.get("lengths", F.col("at")).alias("d"), F.get(F.array(*[F.lit(c) for c in place]), F.col("at")).alias("combo"))
+        .filter(F.col("d").isNotNull())
+    )
     near = (
-        mirrored(combined.vectors, "combo", "d")
-        .join(base_medoids.withColumnRenamed("medoid_a", "nbr"), ["combo", "nbr"])
+        between.join(base_medoids.withColumnRenamed("medoid_a", "nbr"), ["combo", "nbr"])
         .join(their_medoids.withColumnRenamed("medoid_c", "id"), ["combo", "id"])
         .select("combo", "other", "leader_c", "d", "ord", "leader_a")
     )

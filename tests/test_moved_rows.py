@@ -5,7 +5,7 @@ import math
 
 import brute
 import pytest
-from simlattice.operators import blocks, compare, leader, neighbors, silhouette
+from simlattice.operators import blocks, compare, leader, medoid, neighbors, overlap, silhouette
 from simlattice.operators.align import Aligned
 from simlattice.operators.combine import combine_distances, source_combinations, threshold_range
 
@@ -118,3 +118,41 @@ def test_labels_of_an_entity_are_moved_once_per_block(spark, monkeypatch, hub_ro
         assert n > 1
     for (c, step), v in wanted.items():
         assert scores[c, step] == pytest.approx(brute.silhouette(list(range(1, 17)), lengths(aligned, combined.combos[c]), v), abs=1e-9)
+
+
+@pytest.mark.parametrize("hub_rows", [10**6, 10])
+def test_medoids_and_overlap_move_a_pair_once_for_all_combinations(spark, monkeypatch, hub_rows):
+    aligned = some_sources(spark, n=16)
+    combined = combine_distances(aligned, source_combinations(aligned.sources, 1, 2), hub_rows=hub_rows)
+    ranges = threshold_range(combined, 4)
+    labels = leader.leader_clusters(combined, ranges).filter("step = 1").select("combo", "id", "leader").cache()
+    moved, parted = [], []
+
+    def once(pairs, *columns):
+        moved.append(pairs.count())
+        return mirror(pairs, *columns)
+
+    def counted(combined, split, packed, parts, *rest):
+        parted.append((split.members.select("block").distinct().count(), split.ends.join(packed, "id").count(), len(parts)))
+        return plain(combined, split, packed, parts, *rest)
+
+    mirror, plain = overlap.mirrored, medoid.over_blocks
+    monkeypatch.setattr(overlap, "mirrored", once)
+    monkeypatch.setattr(medoid, "over_blocks", counted)
+    for limit, value in (("LOW_ROWS", 40), ("HIGH_ROWS", 60), ("PART_LABELS", 4)):
+        monkeypatch.setattr(blocks, limit, value)
+    pairs = overlap.nested_pairs(combined.combos)
+    got = {(r["base"], r["other"]): r["overlap"] for r in overlap.overlap_scores(overlap.overlap_detail(combined, labels, pairs)).collect()}
+    found = {(r["combo"], r["leader"]): (r["medoid"], r["size"]) for r in medoid.medoids(combined, labels).collect()}
+    assert moved == [combined.wide.count()] and len(parted) == 2
+    assert all(parts > 1 and rows <= n * parts * 16 for n, rows, parts in parted)
+    ids, taken = list(range(1, 17)), {c: {} for c in combined.combos}
+    for r in labels.collect():
+        taken[r["combo"]][r["id"]] = r["leader"]
+    d = {c: lengths(aligned, s) for c, s in combined.combos.items()}
+    for c, t in taken.items():
+        for leads in set(t.values()):
+            group = [i for i in ids if t[i] == leads]
+            assert found[c, leads] == (brute.medoid(group, d[c]), len(group))
+    for a, b in pairs:
+        assert got[a, b] == pytest.approx(brute.overlap(ids, d[a], taken[a], taken[b])[0]), (a, b)
