@@ -18,19 +18,21 @@ def histogram(rows: DataFrame, bins: int = 50, density: bool = False, use_log: b
     """Counts of ``rows(source, value, w)`` in equal bins of every source's own range.
 
     Columns ``source, bin, low, high, frequency``, the last a density if asked;
-    ``use_log`` bins ``log1p(value)``. A constant source gets a range of 1.
+    ``use_log`` bins ``log1p(value)``. A constant source gets a range of 1; one
+    without any value keeps its bins, with null edges and frequencies.
     """
     if use_log:
         rows = rows.withColumn("value", F.log1p("value"))
-    spans = {s: (lo, hi, n) if lo < hi else (lo - 0.5, hi + 0.5, n) for s, (lo, hi, n) in _spans(rows).items()}
+    spans = {s: (lo, hi, n) if lo is None or lo < hi else (lo - 0.5, hi + 0.5, n) for s, (lo, hi, n) in _spans(rows).items()}
     lo = choose({s: v[0] for s, v in spans.items()}, F.col("source"))
     hi = choose({s: v[1] for s, v in spans.items()}, F.col("source"))
     # A value a rounding error below an edge belongs to the bin that starts there.
     at = F.least(F.floor(F.round((F.col("value") - lo) / (hi - lo) * bins, 9)), F.lit(bins - 1)).cast("int")
     counts = rows.groupBy("source", at.alias("bin")).agg(F.sum("w").alias("n"))
-    edges = [(s, b, a + (z - a) / bins * b, a + (z - a) / bins * (b + 1), n) for s, (a, z, n) in spans.items() for b in range(bins)]
+    edge = lambda a, z, b: None if a is None else a + (z - a) / bins * b
+    edges = [(s, b, edge(a, z, b), edge(a, z, b + 1), n) for s, (a, z, n) in spans.items() for b in range(bins)]
     table = rows.sparkSession.createDataFrame(edges, "source string, bin int, low double, high double, total long")
-    n = F.coalesce("n", F.lit(0)).cast("double")
+    n = F.when(F.col("low").isNotNull(), F.coalesce("n", F.lit(0)).cast("double"))
     height = n / (F.col("total") * (F.col("high") - F.col("low"))) if density else n
     return table.join(counts, ["source", "bin"], "left").select("source", "bin", "low", "high", height.alias("frequency"))
 

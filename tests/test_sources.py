@@ -338,6 +338,20 @@ def test_distributions(sources):
     assert sum(r["frequency"] for r in distribution.histogram(spark_rows(data), 3).collect()) == 2
 
 
+def test_histogram_of_a_constant_source(sources):
+    """The rho of a pair with a constant source is null; its bins stay, without edges."""
+    ids, dense, aligned = sources
+    flat = aligned._replace(pairs=aligned.pairs.withColumn("similarity", F.when(F.col("source") == "r", 0.0).otherwise(F.col("similarity"))))
+    null = compare.permutation_null(flat, 20).select(F.concat_ws("|", "source1", "source2").alias("source"), F.col("rho").alias("value"), F.lit(1).cast("long").alias("w"))
+    for density in (False, True):
+        got = {}
+        for r in distribution.histogram(null, 4, density=density).collect():
+            got.setdefault(r["source"], {})[r["bin"]] = (r["low"], r["high"], r["frequency"])
+        assert set(got) == {"p|q", "p|r", "q|r"} and all(sorted(bars) == [0, 1, 2, 3] for bars in got.values())
+        assert {b for s in ("p|r", "q|r") for b in got[s].values()} == {(None, None, None)}
+        assert sum(f * (z - a if density else 1) for a, z, f in got["p|q"].values()) == pytest.approx(1 if density else 20)
+
+
 def spark_rows(data):
     return data.sparkSession.createDataFrame([("c", 1.0, 2)], "source string, value double, w long")
 
