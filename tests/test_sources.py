@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from simlattice import runtime
 from simlattice.operators import compare, distribution, permute
 from simlattice.operators.align import Aligned, align, align_report, align_to_anchor, sample_ids, shared_entities
 from simlattice.operators.matrix import Matrices, build_matrices, mirrored, symmetrize, upper_aligned
@@ -304,6 +305,38 @@ def test_permutation_rows_are_not_copied_for_resamples(spark, monkeypatch):
         assert tasks.value == permute.TASKS
 
 
+@pytest.mark.parametrize("rolls", [10**9, 2_000])
+def test_full_grids_are_rolled(spark, monkeypatch, rolls):
+    """No cell of a full grid is looked up, and it is copied once for a task; ranks, other numbers and missing cells."""
+    looked, plain = spark.sparkContext.accumulator(0), permute._finder
+
+    def counted(at):
+        looked.add(1)
+        return plain(at)
+
+    monkeypatch.setattr(permute, "_finder", counted)
+    monkeypatch.setattr(permute, "ROLLED", 50)
+    monkeypatch.setattr(permute, "ROLLS", rolls)
+    sizes = {"few": 40, "holes": 731, "grid": 900, "odd": 1300}
+    rng = np.random.default_rng(3)
+    held = {k: (np.arange(n) - (n - 1) / 2, rng.permutation(n) * 0.5 if k != "odd" else rng.normal(size=n)) for k, n in sizes.items()}
+    held["odd"][0][17] = held["odd"][1][17] = 0.0
+    rows = [(k, c, [float(u[c])], [float(v[c])]) for k, (u, v) in held.items() for c in range(len(u)) if (k, c) != ("odd", 17)]
+    table = spark.createDataFrame(rows, "name string, cell long, u array<double>, v array<double>")
+    domains = {k: (*permute.grid(n), n) for k, n in sizes.items()}
+    got = {(r["name"], r["resample"]): r["sums"] for r in permute.permuted_products(table, domains, 1, 9, 5, full=True).collect()}
+    for k, (u, v) in held.items():
+        for r in range(9):
+            assert got[k, r] == pytest.approx([(u * v[permute.moved(np.arange(len(u)), *domains[k], r, 5)]).sum()])
+    assert len(got) == 36 and looked.value <= permute.TASKS  # the few cells only
+
+
+def test_slots_have_a_partition_each(spark):
+    found = runtime.slots(spark, 37)
+    table = spark.createDataFrame([(s,) for s in found], "slot long").repartition(37, "slot")
+    assert sorted(r["p"] for r in table.select(F.spark_partition_id().alias("p")).collect()) == list(range(37))
+
+
 def test_moves_are_permutations():
     for size in (1, 2, 3, 10, 97, 780):
         for a, b in {permute.grid(size)} | ({permute.triangle_grid(40)} if size == 780 else set()):
