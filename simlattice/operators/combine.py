@@ -26,6 +26,7 @@ class Combined(NamedTuple):
 
     ``wide(id1, id2, d0, d1, ...)`` has one row per pair and the lengths in the
     order of ``combos``, null where the combo stores nothing.
+    ``alone`` gives the rows of one combination without the others.
     All other pairs lie at ``background[combo]``; ``stats`` covers every pair.
     ``hubs(combo, id)`` are the entities with very many stored pairs, if any.
     """
@@ -39,6 +40,13 @@ class Combined(NamedTuple):
     stored: dict[str, int]
     stats: dict[str, Moments]
     hubs: DataFrame | None = None
+    alone: dict[str, DataFrame] | None = None
+
+    def vectors_of(self, combo: str) -> DataFrame:
+        """``(id1, id2, dists, d)`` of one combination."""
+        if self.alone is not None:
+            return self.alone[combo]
+        return self.vectors.filter(F.col("combo") == combo).drop("combo")
 
     @property
     def cells(self) -> int:
@@ -87,7 +95,8 @@ def combine_distances(
         for s in c[1:]:
             any_stored = any_stored | stored[s]
         lengths.append(F.when(any_stored, length([column[s] for s in c], c)).alias(f"d{k}"))
-    wide = cut(wide.select("id1", "id2", *[f"_{i}" for i in range(len(used))], *lengths))
+    # In the order of their ids the pairs take less disk, here and where they are written again.
+    wide = cut(wide.select("id1", "id2", *[f"_{i}" for i in range(len(used))], *lengths).sortWithinPartitions("id1", "id2"))
     dists = F.lit(None).cast("array<double>")
     for name, c in combos.items():
         dists = F.when(F.col("combo") == name, F.array(*[column[s] for s in c])).otherwise(dists)
@@ -97,6 +106,11 @@ def combine_distances(
         .select("combo", "id1", "id2", dists.alias("dists"), "d")
     )
 
+    alone = {
+        name: wide.filter(F.col(f"d{k}").isNotNull()).select("id1", "id2", F.array(*[column[s] for s in c]).alias("dists"), F.col(f"d{k}").alias("d"))
+        for k, (name, c) in enumerate(combos.items())
+    }
+
     background = {}
     for name, c in combos.items():
         values = [distances.background[s] for s in c]
@@ -121,7 +135,7 @@ def combine_distances(
     if distances.n > hub_rows:
         degrees = mirrored(vectors, "combo").groupBy("combo", "id").agg(F.count("*").alias("stored"))
         hubs = hot_or_none(degrees, "stored", hub_rows)
-    return Combined(vectors, wide.select("id1", "id2", *[f"d{k}" for k in range(len(combos))]), distances.ids, distances.n, dict(combos), background, counts, stats, hubs)
+    return Combined(vectors, wide.select("id1", "id2", *[f"d{k}" for k in range(len(combos))]), distances.ids, distances.n, dict(combos), background, counts, stats, hubs, alone)
 
 
 def combo_stats(combined: Combined) -> DataFrame:

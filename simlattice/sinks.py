@@ -9,8 +9,15 @@ from simlattice.operators.combine import Combined
 from simlattice.runtime import numbered
 
 def save_distances(combined: Combined, path: str) -> None:
-    """Vector distances of all combinations, one folder per combination."""
-    combined.vectors.write.mode("overwrite").partitionBy("combo").parquet(path)
+    """Vector distances of all combinations, one folder per combination.
+
+    A combination is written on its own from the columns it needs: written
+    together, all rows of all combinations are sorted by folder on disk first.
+    """
+    combined.vectors.limit(0).write.mode("overwrite").partitionBy("combo").parquet(path)
+    for combo in combined.combos:
+        rows = combined.vectors_of(combo).withColumn("combo", F.lit(combo))
+        rows.write.mode("append").option("compression", "zstd").partitionBy("combo").parquet(path)
 
 
 def append_results(rows: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ import math
 
 import brute
 import pytest
+from simlattice import sinks
 from simlattice.operators import blocks, compare, leader, medoid, neighbors, overlap, silhouette
 from simlattice.operators.align import Aligned
 from simlattice.operators.combine import combine_distances, source_combinations, threshold_range
@@ -31,6 +32,22 @@ def test_a_pair_is_written_once_for_all_combinations(spark):
     assert written == aligned.pairs.select("id1", "id2").distinct().count() < combined.vectors.count()
 
 
+def test_combinations_are_saved_one_by_one(spark, tmp_path):
+    """No sort of all rows of all combinations; folders of an earlier call are gone."""
+    aligned = some_sources(spark)
+    combined = combine_distances(aligned, source_combinations(aligned.sources, 1, 3))
+    for combo in combined.combos:
+        rows = combined.vectors_of(combo)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "Exchange" not in plan
+        assert sorted(map(tuple, rows.collect())) == sorted(tuple(r)[1:] for r in combined.vectors.filter(f"combo = '{combo}'").collect())
+    for used in (combined, combine_distances(aligned, source_combinations(aligned.sources, 1, 1))):
+        sinks.save_distances(used, str(tmp_path / "d"))
+        saved = spark.read.parquet(str(tmp_path / "d")).select(*used.vectors.columns)
+        assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, used.vectors.collect()))
+        assert {p.name for p in (tmp_path / "d").iterdir() if p.is_dir()} == {f"combo={c}" for c in used.combos}
+
+
 def test_a_round_of_clustering_moves_a_pair_once(spark, monkeypatch):
     aligned = some_sources(spark)
     combined = combine_distances(aligned, source_combinations(aligned.sources, 1, 3))
