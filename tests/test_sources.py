@@ -224,6 +224,33 @@ def test_hausdorff_copies_rows_per_part(spark, sources, block, monkeypatch):
         assert [r[2] for r in rows] == pytest.approx([r[2] for r in expected])
 
 
+def test_hausdorff_of_equal_distances(spark, monkeypatch):
+    """Rows that are all equally far do not wait together, and few of them are measured again."""
+    n, measured, plain = 60, spark.sparkContext.accumulator(0), compare._between
+
+    def counted(x, a, y, b, *more):
+        measured.add(len(a))
+        return plain(x, a, y, b, *more)
+
+    monkeypatch.setattr(compare, "_between", counted)
+    monkeypatch.setattr(compare, "WAITING", 20)
+    monkeypatch.setattr(compare, "PARTS", 1)
+    ids = spark.range(n)
+    for rows, expected in (([], 0.5 * math.sqrt(n - 1)), ([("p", 3, 7, 0.4)], None)):
+        measured.value = 0
+        aligned = Aligned(spark.createDataFrame(rows, "source string, id1 long, id2 long, similarity double"), ids, n, ["p", "q"], {"p": 0.0, "q": 0.5}, {"p": len(rows), "q": 0})
+        got = compare.hausdorff(aligned, block_size=5, tile_rows=10).first()["gromov"]
+        p, q = np.zeros((n, n)), np.full((n, n), 0.5)
+        np.fill_diagonal(q, 0)
+        for _, i, j, v in rows:
+            p[i, j] = p[j, i] = v
+        d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
+        blocks = [d[i : i + 5, j : j + 5] for i in range(0, n, 5) for j in range(0, n, 5)]
+        assert got == pytest.approx(max(max(b.min(axis=0).max(), b.min(axis=1).max()) for b in blocks), rel=1e-12)
+        assert expected is None or got == pytest.approx(expected, rel=1e-12)
+        assert measured.value < n * n / 10  # of 2 * n * n / 5 that are equally far
+
+
 def test_hausdorff_of_values(sources):
     ids, dense, aligned = sources
     got = {(r["source1"], r["source2"]): r["gromov"] for r in compare.hausdorff_values(aligned).collect()}
